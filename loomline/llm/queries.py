@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dup, secrets, toxicity
+from . import chat, decontaminate, importance, mixing, near_dup, nearest, secrets, token_counts, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,14 +16,32 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(chat.with_probe(_table(spark, sf_dir, "conversations")), texts=False)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 1 / 20)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    return importance.resample(docs, docs.join(good, "doc_id", "left_semi"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -31,12 +50,21 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.histogram(token_counts.lengths(_table(spark, sf_dir, "documents"), token_counts.read_vocabulary(spark)))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_chat_format": op2_chat_format,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality_resample": op6_quality_resample,
+    "op7_url_filter": op7_url_filter,
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
