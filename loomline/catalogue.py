@@ -2,5 +2,319 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .functions import text
+from .operators import code
+from .operators.itab import IDX, Itab
+from .plans.program import Program
+from .plans.select import Catalog, select
+from .sources import corpus
+from .streaming import messages
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return keep
+
+
+def dialect(name: str, statement: str, oracle: str, variables=None, target: str | None = None) -> None:
+    """A query that is one SELECT of the dialect; variables may be a function of the catalog."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        catalog = Catalog.of_folder(spark, sf_dir)
+        given = variables(catalog) if callable(variables) else variables
+        return select(catalog, statement, given, T._parse_datatype_string(target) if target else None)
+
+    query(name, oracle)(run)
+
+
+# Open SQL -----------------------------------------------------------------------------------------------
+
+dialect("sel_star_where", "SELECT * FROM nation WHERE n_regionkey = 1 INTO TABLE @DATA(r)", "SELECT * FROM nation WHERE n_regionkey = 1")
+dialect("sel_cols_nocomma", "SELECT p_partkey p_name p_size FROM part WHERE p_size > 25 INTO TABLE @DATA(r)", "SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 25")
+dialect("sel_alias", "SELECT p_partkey AS id, p_brand AS brand FROM part AS p WHERE p~p_size <= 10 INTO TABLE @DATA(r)", "SELECT p_partkey AS id, p_brand AS brand FROM part WHERE p_size <= 10")
+dialect("sel_cmp_symbolic", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 100000 AND o_orderstatus <> 'F' INTO TABLE @DATA(r)", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 100000 AND o_orderstatus <> 'F'")
+dialect("sel_cmp_keyword", "SELECT l_orderkey l_linenumber FROM lineitem WHERE l_quantity GT 45 AND l_discount LE 0.05 AND l_returnflag NE 'N' INTO TABLE @DATA(r)", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45 AND l_discount <= 0.05 AND l_returnflag <> 'N'")
+dialect("sel_and_or", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' OR o_orderstatus = 'P' AND o_totalprice > 200000 INTO TABLE @DATA(r)", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_totalprice > 200000)")
+dialect("sel_parens_not", "SELECT o_orderkey FROM orders WHERE ( o_orderstatus = 'O' OR o_orderstatus = 'P' ) AND NOT o_totalprice > 200000 INTO TABLE @DATA(r)", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'O' OR o_orderstatus = 'P') AND NOT o_totalprice > 200000")
+dialect("sel_in_between_like", "SELECT p_partkey FROM part WHERE p_size IN ( 1, 5, 9 ) OR p_size BETWEEN 40 AND 45 OR p_brand LIKE '%1%' INTO TABLE @DATA(r)", "SELECT p_partkey FROM part WHERE p_size IN (1, 5, 9) OR p_size BETWEEN 40 AND 45 OR p_brand LIKE '%1%'")
+dialect("sel_is_null", "SELECT c~c_custkey o~o_orderkey FROM customer AS c LEFT OUTER JOIN orders AS o ON c~c_custkey = o~o_custkey WHERE o~o_orderkey IS NULL INTO TABLE @DATA(r)", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+dialect("sel_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders INTO TABLE @DATA(r)", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+dialect("sel_single", "SELECT SINGLE c_name c_acctbal FROM customer WHERE c_custkey = 7 INTO @DATA(r)", "SELECT c_name, c_acctbal FROM customer WHERE c_custkey = 7 LIMIT 1")
+dialect("sel_hostvar", "SELECT o_orderkey o_totalprice FROM orders WHERE o_totalprice > @limit INTO TABLE @DATA(r)", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000", {"limit": 150000})
+dialect("sel_hostvar_struct", "SELECT o_orderkey FROM orders WHERE o_orderstatus = @s-status AND o_totalprice < @s-most INTO TABLE @DATA(r)", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 90000", {"s": {"status": "F", "most": 90000}})
+dialect("sel_join_inner", "SELECT c~c_name n~n_name FROM customer AS c INNER JOIN nation AS n ON c~c_nationkey = n~n_nationkey INTO TABLE @DATA(r)", "SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+dialect("sel_join_left", "SELECT c~c_custkey o~o_orderkey FROM customer AS c LEFT OUTER JOIN orders AS o ON c~c_custkey = o~o_custkey INTO TABLE @DATA(r)", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+dialect("sel_join_right", "SELECT s~s_suppkey n~n_name FROM supplier AS s RIGHT JOIN nation AS n ON s~s_nationkey = n~n_nationkey INTO TABLE @DATA(r)", "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey")
+dialect("sel_join_chain", "SELECT c~c_name n~n_name r~r_name FROM customer AS c JOIN nation AS n ON c~c_nationkey = n~n_nationkey JOIN region AS r ON n~n_regionkey = r~r_regionkey WHERE r~r_name <> 'ASIA' INTO TABLE @DATA(t)", "SELECT c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+dialect("sel_join_theta", "SELECT a~n_name AS low, b~n_name AS high FROM nation AS a JOIN nation AS b ON a~n_regionkey = b~n_regionkey AND a~n_nationkey < b~n_nationkey INTO TABLE @DATA(t)", "SELECT a.n_name AS low, b.n_name AS high FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+dialect("sel_agg_group", "SELECT FROM lineitem FIELDS l_returnflag, l_linestatus, SUM( l_quantity ) AS sum_qty, COUNT( * ) AS n GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus INTO TABLE @DATA(r)", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
+dialect("sel_agg_all5", "SELECT o_orderstatus SUM( o_custkey ) AS s COUNT( o_orderkey ) AS c AVG( o_custkey ) AS a MIN( o_totalprice ) AS lo MAX( o_totalprice ) AS hi FROM orders GROUP BY o_orderstatus INTO TABLE @DATA(r)", "SELECT o_orderstatus, CAST(sum(o_custkey) AS BIGINT) AS s, count(o_orderkey) AS c, avg(o_custkey) AS a, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY o_orderstatus")
+dialect("sel_agg_total", "SELECT COUNT( * ) AS n, COUNT( DISTINCT o_custkey ) AS buyers FROM orders INTO TABLE @DATA(r)", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS buyers FROM orders")
+dialect("sel_having", "SELECT o_custkey COUNT( * ) AS n FROM orders GROUP BY o_custkey HAVING COUNT( * ) > 12 INTO TABLE @DATA(r)", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+dialect("sel_having_hidden", "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING MAX( o_totalprice ) > 450000 AND o_custkey > 10 INTO TABLE @DATA(r)", "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING max(o_totalprice) > 450000 AND o_custkey > 10")
+dialect("sel_order_asc", "SELECT o_orderkey o_totalprice FROM orders ORDER BY o_totalprice ASCENDING o_orderkey INTO TABLE @DATA(r) UP TO 20 ROWS", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20")
+dialect("sel_order_desc", "SELECT o_orderkey o_totalprice FROM orders ORDER BY o_totalprice DESCENDING o_orderkey INTO TABLE @DATA(r) UP TO 20 ROWS", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+dialect("sel_topk", "SELECT l_orderkey SUM( l_extendedprice ) AS total FROM lineitem GROUP BY l_orderkey ORDER BY total DESCENDING l_orderkey UP TO @k ROWS INTO TABLE @DATA(r)", "SELECT l_orderkey, sum(l_extendedprice) AS total FROM lineitem GROUP BY l_orderkey ORDER BY total DESC, l_orderkey LIMIT 10", {"k": 10})
+dialect("sel_order_pk", "SELECT * FROM customer ORDER BY PRIMARY KEY UP TO 15 ROWS INTO TABLE @DATA(r)", "SELECT * FROM customer ORDER BY c_custkey LIMIT 15")
+dialect("sel_fields_clause", "SELECT FROM customer FIELDS c_custkey, c_mktsegment WHERE c_acctbal < 0 INTO TABLE @DATA(r)", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal < 0")
+dialect("sel_fae", "SELECT l_orderkey l_linenumber FROM lineitem FOR ALL ENTRIES IN @drv WHERE l_orderkey = @drv-o_orderkey AND l_quantity > 10 INTO TABLE @DATA(r)", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10 AND EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 400000 AND o_orderkey = l_orderkey)", lambda c: {"drv": c.table("orders").where("o_totalprice > 400000")})
+dialect("sel_fae_two_keys", "SELECT l_orderkey l_partkey l_suppkey FROM lineitem FOR ALL ENTRIES IN @drv WHERE l_partkey = @drv-l_partkey AND l_suppkey = @drv-l_suppkey INTO TABLE @DATA(r)", "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem a WHERE EXISTS (SELECT 1 FROM lineitem b WHERE b.l_quantity = 50 AND b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey)", lambda c: {"drv": c.table("lineitem").where("l_quantity = 50").select("l_partkey", "l_suppkey")})
+dialect("sel_fae_empty", "SELECT o_orderkey FROM orders FOR ALL ENTRIES IN @drv WHERE o_custkey = @drv-c_custkey INTO TABLE @DATA(r)", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey < 0)", lambda c: {"drv": c.table("customer").where("c_custkey < 0")})
+dialect("sel_corresponding", "SELECT * FROM part WHERE p_size = 7 INTO CORRESPONDING FIELDS OF TABLE @t", "SELECT p_partkey, p_brand, CAST(NULL AS VARCHAR) AS remark FROM part WHERE p_size = 7", target="struct<p_partkey: bigint, p_brand: string, remark: string>")
+
+
+# Ordered tables -----------------------------------------------------------------------------------------
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def program(name: str, source: str, result: str, oracle: str, keep_idx: bool = False) -> None:
+    """A query that runs a program and gives one of its variables."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        state = Program(spark, Catalog.of_folder(spark, sf_dir)).run(source)
+        got = state.variables[result]
+        if isinstance(got, Itab):
+            return got.df.withColumnRenamed(IDX, "idx") if keep_idx else got.rows
+        values = got if isinstance(got, dict) else {result: got}
+        return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items()))
+
+    query(name, oracle)(run)
+
+
+_SUPPLIERS = "SELECT s_suppkey, s_name, s_nationkey FROM supplier INTO TABLE @DATA(t). "
+_NATIONS = "SELECT n_nationkey, n_name, n_regionkey FROM nation INTO TABLE @DATA(t). "
+_EVENTS = "SELECT event_id, user_id, event_type, value FROM events INTO TABLE @DATA(t). "
+_E = "SELECT event_id, user_id, event_type, value, row_number() OVER (ORDER BY event_id) AS i FROM events"
+program("itab_read_key", _SUPPLIERS + "READ TABLE t WITH KEY s_nationkey = 3 INTO DATA(w).", "w", "SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, s_nationkey FROM supplier WHERE s_nationkey = 3 ORDER BY s_suppkey LIMIT 1")
+program("itab_read_index", _SUPPLIERS + "READ TABLE t INDEX 4 INTO DATA(w).", "w", "SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, s_nationkey FROM supplier ORDER BY s_suppkey LIMIT 1 OFFSET 3")
+program("itab_delete_where", _EVENTS + "DELETE t WHERE value > 50 AND user_id < 100.", "t", f"SELECT event_id, user_id, event_type, value, row_number() OVER (ORDER BY i) AS idx FROM ({_E}) WHERE NOT coalesce(value > 50 AND user_id < 100, false)", True)
+program("itab_delete_index", _NATIONS + "DELETE t INDEX 3.", "t", "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS idx FROM nation WHERE n_nationkey <> 2", True)
+program("itab_delete_adjacent", _EVENTS + "SORT t BY user_id event_type. DELETE ADJACENT DUPLICATES FROM t COMPARING user_id event_type.", "t", f"SELECT event_id, user_id, event_type, value, row_number() OVER (ORDER BY user_id NULLS FIRST, event_type NULLS FIRST, i) AS idx FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY i) AS k FROM ({_E})) WHERE k = 1", True)
+program("itab_insert_row", _NATIONS + "INSERT VALUE #( n_nationkey = 99 n_name = 'NEW' n_regionkey = 1 ) INTO TABLE t.", "t", "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS idx FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'NEW', 1)", True)
+program("itab_append_lines", _NATIONS + "DATA(u) = t. APPEND LINES OF t TO u.", "u", "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY k, n_nationkey) AS idx FROM (SELECT *, 1 AS k FROM nation UNION ALL SELECT *, 2 AS k FROM nation)", True)
+program("itab_append_initial", _NATIONS + "APPEND INITIAL LINE TO t.", "t", "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY k, n_nationkey) AS idx FROM (SELECT n_nationkey, n_name, n_regionkey, 1 AS k FROM nation UNION ALL SELECT 0, '', 0, 2)", True)
+_PARTS = "SELECT p_partkey, p_brand, p_size FROM part INTO TABLE @DATA(t). "
+program("itab_sort_multi", _PARTS + "SORT t BY p_brand ASCENDING p_size DESCENDING.", "t", "SELECT p_partkey, p_brand, p_size, row_number() OVER (ORDER BY p_brand NULLS FIRST, p_size DESC NULLS LAST, p_partkey) AS idx FROM part", True)
+program("itab_sort_desc_default", _PARTS + "SORT t DESCENDING BY p_brand p_size ASCENDING.", "t", "SELECT p_partkey, p_brand, p_size, row_number() OVER (ORDER BY p_brand DESC NULLS LAST, p_size NULLS FIRST, p_partkey) AS idx FROM part", True)
+program("itab_loop_from_to", _EVENTS + "DATA(u) = t. CLEAR u. LOOP AT t INTO DATA(w) FROM 5 TO 40. APPEND w TO u. ENDLOOP.", "u", f"SELECT event_id, user_id, event_type, value, i - 4 AS idx FROM ({_E}) WHERE i BETWEEN 5 AND 40", True)
+program("itab_loop_where", _EVENTS + "DATA(total) = 0. LOOP AT t INTO DATA(w) WHERE event_type = 'click'. total = total + w-user_id. ENDLOOP.", "total", "SELECT CAST(coalesce(sum(user_id), 0) AS INTEGER) AS total FROM events WHERE event_type = 'click'")
+program("itab_loop_assigning", _NATIONS + "LOOP AT t ASSIGNING FIELD-SYMBOL(<f>) WHERE n_regionkey > 1. <f>-n_name = |{ <f>-n_name CASE = LOWER }/{ <f>-n_regionkey }|. IF <f>-n_nationkey > 10. <f>-n_regionkey = <f>-n_regionkey * 10. ENDIF. ENDLOOP.", "t", "SELECT n_nationkey, CASE WHEN n_regionkey > 1 THEN lower(n_name) || '/' || n_regionkey ELSE n_name END AS n_name, CASE WHEN n_regionkey > 1 AND n_nationkey > 10 THEN n_regionkey * 10 ELSE n_regionkey END AS n_regionkey FROM nation")
+program("itab_value_for", _NATIONS + "DATA(u) = VALUE #( FOR x IN t WHERE ( n_regionkey = 2 ) ( id = x-n_nationkey label = x-n_name ) ).", "u", "SELECT n_nationkey AS id, n_name AS label FROM nation WHERE n_regionkey = 2")
+program("itab_reduce_table", _NATIONS + "DATA(s) = REDUCE i( INIT a = 0 FOR x IN t WHERE n_regionkey = 1 NEXT a = a + x-n_nationkey ).", "s", "SELECT CAST(sum(n_nationkey) AS INTEGER) AS s FROM nation WHERE n_regionkey = 1")
+
+
+@query("itab_read_exists", "SELECT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = 3) AS found")
+def _read_exists(spark, sf_dir):
+    return Itab.of(_table(spark, sf_dir, "supplier"), ["s_suppkey"]).exists(F.col("s_nationkey") == 3)
+
+
+@query("itab_loop_group", f"SELECT event_type, count(*) AS size, min(i) AS first FROM ({_E}) GROUP BY event_type")
+def _loop_group(spark, sf_dir):
+    return Itab.of(_table(spark, sf_dir, "events"), ["event_id"]).groups(event_type=F.col("event_type"))
+
+
+@query("itab_loop_at_group", "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_quantity > 40 AND l_returnflag IN (SELECT l_returnflag FROM lineitem GROUP BY 1 HAVING count(*) > 15000)")
+def _loop_at_group(spark, sf_dir):
+    lines = Itab.of(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), ["l_orderkey", "l_linenumber"])
+    groups = lines.groups(flag=F.col("l_returnflag")).where("size > 15000")
+    return lines.members(groups, F.col("l_quantity") > 40, flag=F.col("l_returnflag")).select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+# Expressions, constructors and templates ----------------------------------------------------------------
+
+
+def expression(name: str, table: str, items: dict[str, str], oracle: str, prepare=None, types: dict | None = None) -> None:
+    """A query of columns that are expressions of the dialect over a table's rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .plans.expressions import Scope, column
+        from .plans.syntax import Parser
+
+        df = _table(spark, sf_dir, table)
+        df = prepare(df) if prepare else df
+        kinds = dict(df.dtypes)
+
+        def field_of(path):
+            return (F.col(".".join(path)), kinds[path[0]]) if path[0] in kinds else None
+
+        cols = [column(Parser(x).logic(), Scope(field_of)).alias(n) for n, x in items.items()]
+        return df.select(*(c.cast(types[n]).alias(n) if types and n in types else c for n, c in zip(items, cols)))
+
+    query(name, oracle)(run)
+
+
+def _prices(df: DataFrame) -> DataFrame:
+    """Each customer's orders as a nested ordered table."""
+    return df.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice", "o_orderstatus"))).alias("items"))
+
+
+expression("expr_arith", "lineitem", {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "net": "l_extendedprice * ( 1 - l_discount ) + l_tax / 2"}, "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + l_tax / 2 AS net FROM lineitem")
+expression("expr_mod_div", "lineitem", {"l_orderkey": "l_orderkey", "m": "l_partkey MOD 7", "d": "l_partkey DIV 7", "neg": "- l_linenumber MOD 3"}, "SELECT l_orderkey, l_partkey % 7 AS m, l_partkey // 7 AS d, -l_linenumber % 3 AS neg FROM lineitem", types={"m": "bigint", "d": "bigint", "neg": "int"})
+expression("expr_concat", "customer", {"label": "c_name & '/' & c_mktsegment"}, "SELECT c_name || '/' || c_mktsegment AS label FROM customer")
+expression("expr_between", "lineitem", {"l_orderkey": "l_orderkey", "inside": "l_quantity BETWEEN 10 AND 20"}, "SELECT l_orderkey, l_quantity BETWEEN 10 AND 20 AS inside FROM lineitem")
+expression("expr_is_initial", "customer", {"c_custkey": "c_custkey", "a": "c_custkey IS INITIAL", "b": "c_name IS NOT INITIAL"}, "SELECT c_custkey, c_custkey IS NULL OR c_custkey = 0 AS a, NOT (c_name IS NULL OR c_name = '') AS b FROM customer")
+expression("expr_string_compare", "part", {"p_partkey": "p_partkey", "cs": "p_type CS 'A'", "ns": "p_name NS 'x'", "co": "p_brand CO 'Brand#0123456789'", "ca": "p_type CA 'XYZ'", "cp": "p_type CP '*A+*'"}, "SELECT p_partkey, contains(p_type, 'A') AS cs, NOT contains(p_name, 'x') AS ns, translate(p_brand, 'Brand#0123456789', '') = '' AS co, regexp_matches(p_type, '[XYZ]') AS ca, p_type LIKE '%A_%' AS cp FROM part")
+expression("expr_cond", "orders", {"o_orderkey": "o_orderkey", "size": "COND #( WHEN o_totalprice > 300000 THEN 'large' WHEN o_totalprice > 100000 THEN 'medium' ELSE 'small' )"}, "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'large' WHEN o_totalprice > 100000 THEN 'medium' ELSE 'small' END AS size FROM orders")
+expression("expr_switch", "orders", {"o_orderkey": "o_orderkey", "state": "SWITCH #( o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'other' )"}, "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'other' END AS state FROM orders")
+expression("expr_reduce", "orders", {"o_custkey": "o_custkey", "n": "REDUCE i( INIT s = 0 FOR x IN items WHERE o_orderstatus = 'O' NEXT s = s + 1 )"}, "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS n FROM orders GROUP BY o_custkey", _prices)
+expression("expr_filter", "orders", {"o_custkey": "o_custkey", "n": "lines( FILTER #( items WHERE o_totalprice > 200000 ) )"}, "SELECT o_custkey, CAST(count(*) FILTER (WHERE o_totalprice > 200000) AS INTEGER) AS n FROM orders GROUP BY o_custkey", _prices)
+expression("expr_value_for", "orders", {"o_custkey": "o_custkey", "ids": "concat_lines_of( VALUE #( FOR x IN items WHERE ( o_orderstatus = 'F' ) ( |{ x-o_orderkey },| ) ) )"}, "SELECT o_custkey, coalesce(string_agg(o_orderkey || ',', '' ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'F'), '') AS ids FROM orders GROUP BY o_custkey", _prices)
+expression("expr_table_index", "orders", {"o_custkey": "o_custkey", "first": "items[ 1 ]-o_orderkey", "keyed": "items[ o_orderstatus = 'P' ]-o_orderkey"}, "SELECT o_custkey, min(o_orderkey) AS first, min(o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS keyed FROM orders GROUP BY o_custkey", _prices)
+expression("expr_conv", "orders", {"o_orderkey": "o_orderkey", "k": "CONV string( o_custkey )"}, "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS k FROM orders")
+expression("tmpl_width_align", "orders", {"o_orderkey": "o_orderkey", "x": "|<{ o_orderstatus WIDTH = 5 ALIGN = RIGHT PAD = '*' }{ o_orderkey WIDTH = 9 }{ o_orderstatus WIDTH = 4 ALIGN = CENTER }>|"}, "SELECT o_orderkey, '<' || lpad(o_orderstatus, 5, '*') || rpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(9, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), ' ') || ' ' || o_orderstatus || '  >' AS x FROM orders")
+expression("tmpl_case", "orders", {"o_orderkey": "o_orderkey", "x": "|{ o_orderpriority CASE = LOWER }-{ o_orderstatus CASE = UPPER }|"}, "SELECT o_orderkey, lower(o_orderpriority) || '-' || upper(o_orderstatus) AS x FROM orders")
+expression("tmpl_date_iso", "orders", {"o_orderkey": "o_orderkey", "x": "|{ o_orderdate DATE = ISO } { o_orderdate DATE = RAW } { o_orderdate TIME = ISO } { o_orderdate TIMESTAMP = ISO }|"}, "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %Y%m%d %H:%M:%S %Y-%m-%dT%H:%M:%S') AS x FROM orders")
+expression("tmpl_alpha", "orders", {"o_orderkey": "o_orderkey", "i": "|{ o_orderkey ALPHA = IN WIDTH = 10 }|", "o": "|{ |{ o_orderkey WIDTH = 10 ALIGN = RIGHT PAD = '0' }| ALPHA = OUT }|"}, "SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS i, CAST(o_orderkey AS VARCHAR) AS o FROM orders")
+expression("tmpl_number", "customer", {"c_custkey": "c_custkey", "x": "|{ c_custkey DECIMALS = 2 SIGN = LEFTPLUS }|", "z": "|{ c_nationkey ZERO = NO }|"}, "SELECT c_custkey, '+' || c_custkey || '.00' AS x, CASE WHEN c_nationkey = 0 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS z FROM customer")
+
+
+# Texts and positions ------------------------------------------------------------------------------------
+
+
+@query("txt_condense", "SELECT doc_id, trim(regexp_replace(text, ' +', ' ', 'g'), ' ') AS t FROM documents")
+def _condense(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.condense("text").alias("t"))
+
+
+@query("txt_url_decode", "SELECT page_id, url_decode(url || '%20a+b%zz%C3%A9') AS t FROM pages")
+def _url_decode(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.url_decode(F.concat("url", F.lit("%20a+b%zz%C3%A9"))).alias("t"))
+
+
+@query("txt_url_encode", "SELECT page_id, replace(url_encode(url || ' ~*é'), '%2F', '/') AS t FROM pages")
+def _url_encode(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.path_encode(F.concat("url", F.lit(" ~*é"))).alias("t"))
+
+
+@query("txt_escape_roundtrip", "SELECT doc_id, text AS t FROM documents")
+def _roundtrip(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.path_unescape(text.segment_escape("text")).alias("t"))
+
+
+@query("txt_filename", "SELECT page_id, lower(regexp_extract(url, '([^/]*)$', 1)) AS name, regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder FROM pages")
+def _filename(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.filename_of("url").alias("name"), text.folder_of("url").alias("folder"))
+
+
+_LINES = "SELECT doc_id, i - 1 AS line, lines[i] AS body, lines FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))"
+
+
+@query("txt_line_starts", f"SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(coalesce(sum(strlen(body) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(strlen(body) AS BIGINT) AS bytes FROM ({_LINES})")
+def _line_starts(spark, sf_dir):
+    return text.line_starts(_table(spark, sf_dir, "documents"))
+
+
+@query("txt_offset_to_position", "SELECT doc_id, CAST(len(l) - 1 AS INTEGER) AS line, CAST(strlen(l[-1]) AS INTEGER) AS col FROM (SELECT doc_id, string_split(left(text, length(text) // 2), chr(10)) AS l FROM documents)")
+def _offset_to_position(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    half = F.octet_length(F.expr("left(text, length(text) div 2)"))
+    line, col = text.offset_to_position(F.col("text"), half)
+    return docs.select("doc_id", line.alias("line"), col.alias("col"))
+
+
+@query("txt_position_to_offset", "SELECT doc_id, CAST(CASE WHEN len(l) < 2 THEN -1 ELSE strlen(l[1]) + 1 + least(5, strlen(l[2])) END AS BIGINT) AS at FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def _position_to_offset(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.position_to_offset(F.col("text"), F.lit(1), F.lit(5)).alias("at"))
+
+
+_WORDS = f"SELECT doc_id, line, k, CAST(strlen(array_to_string(w[1:k - 1], ' ')) + CASE WHEN k > 1 THEN 1 ELSE 0 END AS INTEGER) AS col FROM (SELECT doc_id, line, w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT doc_id, line, string_split(body, ' ') AS w FROM ({_LINES})))"
+
+
+@query("code_token_delta", f"SELECT doc_id, CAST(line AS INTEGER) AS line, col, CAST(line - coalesce(lag(line) OVER w, 0) AS INTEGER) AS delta_line, CASE WHEN line = lag(line) OVER w THEN col - lag(col) OVER w ELSE col END AS delta_column FROM ({_WORDS}) WINDOW w AS (PARTITION BY doc_id ORDER BY line, k)")
+def _token_delta(spark, sf_dir):
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+    size = F.octet_length("word")
+    words = lines.select("doc_id", "line", F.posexplode(F.split("body", " ", -1)).alias("k", "word"))
+    from pyspark.sql.window import Window
+
+    before = Window.partitionBy("doc_id", "line").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = words.withColumn("column", F.coalesce(F.sum(size + 1).over(before), F.lit(0)).cast("int"))
+    w = Window.partitionBy("doc_id").orderBy("line", "k")
+    same = F.col("line") == F.lag("line").over(w)
+    delta = F.when(same, F.col("column") - F.lag("column").over(w)).otherwise(F.col("column"))
+    return placed.select("doc_id", "line", F.col("column").alias("col"), (F.col("line") - F.coalesce(F.lag("line").over(w), F.lit(0))).alias("delta_line"), delta.alias("delta_column"))
+
+
+# Code analytics over a small corpus ---------------------------------------------------------------------
+
+FIXTURE = {
+    "zmain": "REPORT zmain.\nDATA gv_one TYPE i.\nDATA: gv_two TYPE string, gv_three TYPE p.\nINCLUDE zinc.\nDATA(gv_four) = gv_inc + 1.\ngv_one = gv_four=>bad( ).\n"
+    "FORM run USING p_in TYPE i.\n  DATA lv_local TYPE string.\n  lv_local = |{ p_in }|.\nENDFORM.\n",
+    "zinc": "DATA gv_inc TYPE i.\nTYPES: BEGIN OF ty_line, key TYPE i, name TYPE string, END OF ty_line.\nDATA gs_line TYPE ty_line.\n",
+    "zclass": "CLASS zcl DEFINITION.\n  PUBLIC SECTION.\n    CLASS-METHODS make RETURNING VALUE(r) TYPE REF TO zcl.\n    METHODS run IMPORTING i TYPE i.\n    DATA attr TYPE i READ-ONLY.\n"
+    "  PRIVATE SECTION.\n    DATA hidden TYPE i.\nENDCLASS.\nCLASS zcl IMPLEMENTATION.\n  METHOD make. ENDMETHOD.\n  METHOD run. DATA x TYPE i. x = zcl=>make( ). ENDMETHOD.\nENDCLASS.\nDATA lo TYPE REF TO zcl.\n",
+    "zdup": "TYPES t TYPE i.\nTYPES t TYPE string.\nthis is ( bad.\nINCLUDE zdup.\nINCLUDE znowhere.\n",
+}
+
+
+def fixture(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i + 1, n, t) for i, (n, t) in enumerate(sorted(FIXTURE.items()))], "file_id long, name string, content string")
+
+
+def _asked(spark: SparkSession, file: str, marker: str, **more) -> DataFrame:
+    """One asked place: where the marker stands in a fixture file."""
+    names = sorted(FIXTURE)
+    row = (names.index(file) + 1, len(FIXTURE[file][: FIXTURE[file].index(marker)].encode()), *more.values())
+    return spark.createDataFrame([row], "file_id long, offset int" + "".join(f", {k} string" for k in more))
+
+
+query("code_tokens")(lambda spark, sf_dir: code.tokens(fixture(spark)))
+query("code_nodes")(lambda spark, sf_dir: code.nodes(fixture(spark)))
+query("code_symbols")(lambda spark, sf_dir: code.symbols(fixture(spark)))
+query("code_dup_symbols")(lambda spark, sf_dir: code.duplicate_symbols(code.symbols(fixture(spark))))
+query("code_include_visible")(lambda spark, sf_dir: code.visible_at(code.project_symbols(fixture(spark)), 4, [FIXTURE["zmain"].index("gv_four")]))
+query("code_static_access")(lambda spark, sf_dir: code.project_diagnostics(fixture(spark)).where("phase <> 'syntax'"))
+query("code_missing_includes")(lambda spark, sf_dir: code.missing_includes(fixture(spark)))
+query("ide_node_at")(lambda spark, sf_dir: code.node_at(code.nodes(fixture(spark)), _asked(spark, "zmain", "p_in }")))
+query("ide_enclosing")(lambda spark, sf_dir: code.enclosing(code.nodes(fixture(spark)), _asked(spark, "zmain", "p_in }")))
+query("ide_hover")(lambda spark, sf_dir: code.hover_text(code.lookup(code.symbols(fixture(spark)), _asked(spark, "zmain", "p_in }", name="P_IN"))))
+query("ide_completion")(lambda spark, sf_dir: code.completion(code.symbols(fixture(spark)), _asked(spark, "zmain", "p_in }", prefix="l")))
+query("ide_members")(lambda spark, sf_dir: code.members(code.symbols(fixture(spark)), spark.createDataFrame([(1, "zcl", "=>"), (1, "lo", "->"), (3, "gs_line", "-")], "file_id long, name string, access string")))
+query("ide_semantic_tokens")(lambda spark, sf_dir: code.semantic_tokens(fixture(spark)))
+
+
+@query("code_index")
+def _index(spark, sf_dir):
+    base = "/x/Package/%2FNS%2FPKG/Source Code Library/"
+    names = ["Includes/%2FNS%2FINC.abap", "Programs/ZREP/ZREP.abap", "Programs/ZREP/Includes/ZREP_TOP.abap", "Function Groups/ZFG/ZFG.abap", "Function Groups/ZFG/Function Modules/Z_DO.abap"]
+    raw = spark.createDataFrame([(base + n, b"REPORT x.") for n in names], "path string, content binary")
+    objects, edges, _ = corpus.index(corpus.files_of(raw))
+    return objects.select("id", "name", "kind").unionByName(edges.select(F.col("child_id").alias("id"), F.col("parent_id").cast("string").alias("name"), F.lit("edge").alias("kind")))
+
+
+# Streams ------------------------------------------------------------------------------------------------
+
+
+@query("stream_latest_doc", "SELECT source AS uri, max(doc_id) AS version, arg_max(n_chars, doc_id) AS n FROM documents GROUP BY source")
+def _stream_latest(spark, sf_dir):
+    stream = messages.read_table(spark, sf_dir, "documents").select(F.col("source").alias("uri"), F.col("doc_id").alias("version"), F.col("n_chars").alias("n"))
+    return messages.run_to_end(messages.latest(stream, text="n"), f"latest_{int(datetime.now().timestamp() * 1e6)}")
+
+
+@query("stream_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _tumbling(spark, sf_dir):
+    out = messages.run_to_end(messages.tumbling(messages.read_table(spark, sf_dir, "events")), f"tumbling_{int(datetime.now().timestamp() * 1e6)}")
+    return out.withColumns({"total": F.round("total", 4), "start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
+
+
+@query("stream_sessions")
+def _sessions(spark, sf_dir):
+    return messages.sessions(_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))

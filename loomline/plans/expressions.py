@@ -117,11 +117,14 @@ def _pattern(text: Column) -> Column:
 def compare(op: str, left: Column, right: Column) -> Column:
     if op in ("=", "<>", "<", ">", "<=", ">="):
         return {"=": left == right, "<>": left != right, "<": left < right, ">": left > right, "<=": left <= right, ">=": left >= right}[op]
-    only = F.translate(left, right, F.lit("")) == ""
-    any_ = F.length(F.translate(left, right, F.lit(""))) < F.length(left)
-    within = F.contains(left, right)
-    like = F.call_function("like", left, _pattern(right))
-    return {"CO": only, "CN": ~only, "CA": any_, "NA": ~any_, "CS": within, "NS": ~within, "CP": like, "NP": ~like, "LIKE": F.call_function("like", left, right)}[op]
+    if op in ("CO", "CN", "CA", "NA"):
+        rest = F.call_function("translate", left, right, F.lit(""))
+        out = rest == "" if op in ("CO", "CN") else F.length(rest) < F.length(left)
+    elif op in ("CS", "NS"):
+        out = F.contains(left, right)
+    else:
+        out = F.call_function("like", left, right if op == "LIKE" else _pattern(right))
+    return ~out if op in ("CN", "NA", "NS", "NP") else out
 
 
 def column(node: Node, scope: Scope) -> Column:
