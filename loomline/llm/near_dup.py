@@ -32,10 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, byte_texts, components, folded_words, word_hashes
 
-WIDTH, SKETCH, POOL, BLOCK = 5, 64, 32, 512
-#: At least so many of the 64 or 32 smallest values of a union are common to both sets if a share of 3/4 of the union is: binomial tail below 1e-6.
-NEED_SKETCH, NEED_POOL = 30, 11
-NUM, DEN = 75, 100
+WIDTH, POOL, BLOCK, NUM, DEN = 5, 32, 512, 75, 100
+#: Sketch lengths of the first and of the second round of candidates.
+SHORT, SKETCH = 64, 256
+
+
+def need(width: int) -> int:
+    """So many of the smallest `width` values of a union are common to both sets if 3/4 of the union are: the binomial's mean less 5.2 deviations."""
+    return int(width * NUM / DEN - 5.2 * (width * NUM / DEN * (1 - NUM / DEN)) ** 0.5)
 
 
 def shingle_hashes(words: list[bytes]) -> np.ndarray:
@@ -89,16 +93,53 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def union_overlap(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether the union sketch allows the threshold. a, b: a sorted sketch a row, -1 beyond a set's end."""
+    """0 where the union sketch rules the threshold out, else 1 and the values in common. a, b: a sorted sketch a row, -1 beyond a set's end."""
+    width = a.shape[1]
     both = np.sort(np.concatenate([a, b], 1), 1)
     real = both >= 0
     new = real.copy()
     new[:, 1:] &= both[:, 1:] != both[:, :-1]
-    rank = np.cumsum(new, 1)
-    common = ((real & ~new) & (rank <= SKETCH)).sum(1)
-    union = rank[:, -1]
-    exact = (na <= SKETCH) & (nb <= SKETCH)
-    return np.where(exact & (union <= SKETCH), DEN * common >= NUM * union, common >= np.minimum(NEED_SKETCH, np.ceil(NUM / DEN * np.maximum(na, nb)))) * (common + 1)
+    rank = np.cumsum(new, 1, dtype=np.int32)
+    twice = real & ~new
+    common, union = twice.sum(1), rank[:, -1]
+    whole = (na <= width) & (nb <= width)  # then the sketches are the sets
+    few = np.minimum(need(width), np.ceil(NUM / DEN * np.maximum(na, nb)))
+    return np.where(whole, DEN * common >= NUM * union, (twice & (rank <= width)).sum(1) >= few) * (common + 1)
+
+
+def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least value that two rows of keys share; -1 pads."""
+    both = np.sort(np.concatenate([a, b], 1), 1)
+    same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)
+    return both[np.arange(len(both)), same.argmax(1)]
+
+
+def _rows(column: pa.ChunkedArray, width: int, kind) -> np.ndarray:
+    """A list column as a matrix padded with -1."""
+    flat = column.combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+    out = np.full((len(column), width), -1, kind)
+    out[np.arange(width)[None, :] < np.diff(ends)[:, None]] = values[ends[0] : ends[-1]]
+    return out
+
+
+def _overlaps(sketch: np.ndarray) -> np.ndarray:
+    """Values in common of all rows of a block, from an incidence matrix made in strips."""
+    values, where, count = np.unique(sketch, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero((count > 1) & (values >= 0))
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[where.reshape(sketch.shape)]
+    row = np.broadcast_to(np.arange(len(sketch))[:, None], column.shape)[column >= 0]
+    column = column[column >= 0]
+    out = np.zeros((len(sketch), len(sketch)), np.float32)
+    for low in range(0, len(shared), 4096):
+        mine = (column >= low) & (column < low + 4096)
+        hits = np.zeros((len(sketch), min(4096, len(shared) - low)), np.float32)
+        hits[row[mine], column[mine] - low] = 1
+        out += hits @ hits.T
+    return out
 
 
 def _pairs_of(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
@@ -140,13 +181,8 @@ def _work(table: pa.Table, starts: np.ndarray, every: bool) -> Iterator[pa.Recor
     keys = table["key"].to_numpy(zero_copy_only=False)
     n = table["n"].to_numpy()
     mine, i, j = table["block"].to_numpy(), table["i"].to_numpy(), table["j"].to_numpy()
-    flat = table["sketch"].combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-    lens = np.diff(ends)
-    sketch = np.full((len(table), SKETCH), -1, np.int32)
-    cell = np.arange(SKETCH)[None, :] < lens[:, None]
-    sketch[cell] = values[ends[0] : ends[-1]]
+    width = SKETCH if every else SHORT
+    sketch = _rows(table["sketch"], width, np.int32)
     comp = np.unique(table["comp"].to_numpy(zero_copy_only=False).astype("S32"), return_inverse=True)[1]
 
     left, right = [], []
@@ -156,14 +192,8 @@ def _work(table: pa.Table, starts: np.ndarray, every: bool) -> Iterator[pa.Recor
         if e - s <= 24:
             p, q = np.triu_indices(e - s, 1)
         else:
-            vocabulary, where = np.unique(sketch[s:e], return_inverse=True)
-            hits = np.zeros((e - s, len(vocabulary)), np.float32)
-            hits[np.arange(e - s)[:, None], where.reshape(e - s, SKETCH)] = 1
-            hits[:, vocabulary < 0] = 0
-            hits = hits[:, hits.sum(0) > 1]
-            overlap = hits @ hits.T
-            few = np.minimum(NEED_SKETCH, np.ceil(NUM / DEN * n[s:e]))
-            p, q = np.nonzero(np.triu(overlap >= np.maximum(few[:, None], few[None, :]), 1))
+            few = np.minimum(need(width), np.ceil(NUM / DEN * n[s:e]))
+            p, q = np.nonzero(np.triu(_overlaps(sketch[s:e]) >= np.maximum(few[:, None], few[None, :]), 1))
         p, q = p + s, q + s
         ok = (DEN * np.minimum(n[p], n[q]) >= NUM * np.maximum(n[p], n[q])) & (keys[p] != keys[q])
         if i[s] != j[s]:
@@ -175,8 +205,13 @@ def _work(table: pa.Table, starts: np.ndarray, every: bool) -> Iterator[pa.Recor
     if not left:
         return
     p, q = np.concatenate(left), np.concatenate(right)
-    score = np.concatenate([union_overlap(sketch[p[x : x + 20_000]], sketch[q[x : x + 20_000]], n[p[x : x + 20_000]], n[q[x : x + 20_000]]) for x in range(0, len(p), 20_000)] or [np.zeros(0, int)])
+    step = 500_000 // width
+    score = np.concatenate([union_overlap(sketch[p[x]], sketch[q[x]], n[p[x]], n[q[x]]) for x in (slice(k, k + step) for k in range(0, len(p), step))] or [np.zeros(0, int)])
     p, q, score = p[score > 0], q[score > 0], score[score > 0]
+    if every and len(p):  # a pair of several lists counts in the first of them
+        own, v = _rows(table["own"], POOL, np.int64), table["v"].to_numpy()
+        first = np.concatenate([_first_common(own[p[k : k + step]], own[q[k : k + step]]) == v[p[k : k + step]] for k in range(0, len(p), step)])
+        p, q, score = p[first], q[first], score[first]
     hub = np.zeros(len(p), bool)
     if not every and len(p):
         # Both directions of each pair: a row's two best partners, and the row of its list that has most in common with all others.
@@ -202,7 +237,7 @@ def _candidates(lists: DataFrame, every: bool) -> DataFrame:
     """Pairs that the lists and the union sketches leave; long lists in pairs of blocks."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = lists.withColumn("block", F.pmod(F.xxhash64("key", "v"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "sketch", "comp")
+    dealt = dealt.select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "sketch", "comp", "own")
     shuffled = dealt.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
     return shuffled.mapInArrow(lambda it: _pairs_of(it, every), "a binary, b binary, score int, hub boolean")
 
@@ -237,20 +272,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     held = classes.select("key", "n", F.explode("pool").alias("v"))
     shared = held.join(held.groupBy("v").agg(F.count("*").alias("size")).where("size > 1"), "v")
-    need = F.least(F.lit(NEED_POOL), F.ceil(F.col("n") * NUM / DEN)).cast("int")
+    least = F.least(F.lit(need(POOL)), F.ceil(F.col("n") * NUM / DEN)).cast("int")
     mine = shared.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("size", "v"))).alias("own"))
-    prefix = mine.where(F.size("own") >= need).select("key", F.explode(F.slice("own", F.lit(1), F.size("own") - need + 1)).alias("x")).select("key", "x.v")
-    prefix = ws.save(prefix)
+    prefix = mine.where(F.size("own") >= least).select("key", F.slice("own.v", F.lit(1), F.size("own") - least + 1).alias("own"))
+    prefix = ws.save(prefix.select("key", "own", F.explode("own").alias("v")))
     lengths = prefix.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
-    lists = ws.save(prefix.join(lengths, "v").join(classes.select("key", "n", "sketch"), "key").withColumn("comp", F.col("key")))
+    lists = ws.save(prefix.join(lengths, "v"))
     ws.drop(prefix)
 
-    first = ws.save(_likeliest(_candidates(lists, False)))
+    short = classes.select("key", "n", F.slice("sketch", 1, SHORT).alias("sketch"))
+    first = ws.save(_likeliest(_candidates(lists.join(short, "key").withColumn("comp", F.col("key")).withColumn("own", F.array().cast("array<long>")), False)))
     links = ws.save(_verified(ws, docs, classes, first))
     roots = ws.save(components(ws, links))
-    named = lists.drop("comp").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+    named = lists.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     several = named.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("v")
-    rest = ws.save(_candidates(named.join(several, "v", "left_semi"), True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    rest = ws.save(_candidates(named.join(several, "v", "left_semi").join(classes.select("key", "n", "sketch"), "key"), True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
     more = ws.save(_verified(ws, docs, classes, rest))
     if not more.isEmpty():
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
@@ -264,3 +300,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     every = full.union(empty)
     kept = F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id"))
     return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs without the rows that near_duplicates() doesn't keep; of rows with one id and one set, one stays."""
+    ws = Workspace(docs.sparkSession)
+    ids = ws.save(near_duplicates(docs).select("doc_id", "kept"))
+    gone = ids.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    twice = ids.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    if twice.isEmpty():
+        return left
+    # Repeated ids are rare; only their rows are compared with each other.
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
