@@ -280,7 +280,7 @@ query("code_tokens")(lambda spark, sf_dir: code.tokens(fixture(spark)))
 query("code_nodes")(lambda spark, sf_dir: code.nodes(fixture(spark)))
 query("code_symbols")(lambda spark, sf_dir: code.symbols(fixture(spark)))
 query("code_dup_symbols")(lambda spark, sf_dir: code.duplicate_symbols(code.symbols(fixture(spark))))
-query("code_include_visible")(lambda spark, sf_dir: code.visible_at(code.project_symbols(fixture(spark)), 4, [FIXTURE["zmain"].index("gv_four")]))
+query("code_include_visible")(lambda spark, sf_dir: code.visible_at(code.project_symbols(fixture(spark)), 4, [FIXTURE["zmain"].index("DATA(gv_four")]))
 query("code_static_access")(lambda spark, sf_dir: code.project_diagnostics(fixture(spark)).where("phase <> 'syntax'"))
 query("code_missing_includes")(lambda spark, sf_dir: code.missing_includes(fixture(spark)))
 query("ide_node_at")(lambda spark, sf_dir: code.node_at(code.nodes(fixture(spark)), _asked(spark, "zmain", "p_in }")))

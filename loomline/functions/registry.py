@@ -8,7 +8,7 @@ from . import text
 
 FUNCTIONS = {
     "lines": F.size, "strlen": F.length, "to_upper": F.upper, "to_lower": F.lower, "condense": text.condense, "abs": F.abs, "ceil": F.ceil, "floor": F.floor,
-    "round": F.round, "sign": F.signum, "reverse": F.reverse, "concat_lines_of": lambda table, sep=F.lit(""): F.array_join(table, ""),
+    "round": F.round, "sign": F.signum, "reverse": F.reverse, "concat_lines_of": lambda table, sep=None: F.array_join(table, ""),
     "url_decode": text.url_decode, "url_encode": text.path_encode, "ipow": lambda a, b: F.pow(a, b), "nmin": F.least, "nmax": F.greatest, "line_exists": lambda row: row.isNotNull(),
 }
 

@@ -508,9 +508,12 @@ def _loop(p: Parser) -> Node:
         elif p.skip("GROUP", "BY"):
             if p.op("LParen"):
                 while not p.op("RParen"):
-                    if p.now.upper in ("GROUP", "SIZE", "INDEX") and p.ahead().kind != "Equal":
-                        p.take()
-                    out.add("key", p.argument())
+                    key = p.node("Named_Arg", name=_name(p), counts="")
+                    p.need("Equal")
+                    for word in ("SIZE", "INDEX"):
+                        if p.skip("GROUP", word):
+                            key.attrs["counts"] = word
+                    out.add("key", p.close(key if key["counts"] else key.add("value", p.expr())))
             else:
                 out.add("key", p.expr())
         else:

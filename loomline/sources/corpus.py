@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text
 
 SUFFIX = "*.[aA][bB][aA][pP]"
-FILES = T.StructType.fromDDL("file_id BIGINT NOT NULL, path STRING NOT NULL, name STRING NOT NULL, extension STRING NOT NULL, content BINARY")
-OBJECTS = T.StructType.fromDDL("id BIGINT NOT NULL, name STRING NOT NULL, kind STRING NOT NULL, file_id BIGINT")
-EDGES = T.StructType.fromDDL("parent_id BIGINT NOT NULL, child_id BIGINT NOT NULL")
+FILES = "file_id BIGINT NOT NULL, path STRING NOT NULL, name STRING NOT NULL, extension STRING NOT NULL, content BINARY"
+OBJECTS = "id BIGINT NOT NULL, name STRING NOT NULL, kind STRING NOT NULL, file_id BIGINT"
+EDGES = "parent_id BIGINT NOT NULL, child_id BIGINT NOT NULL"
+#: Schemas of the index tables are DDL strings.
 #: Kinds of development objects.
 KINDS = ("package", "include", "report", "function_group", "function_module", "class", "interface", "table", "structure", "data_element", "table_type")
 
