@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from .common import Workspace
 
-TREES, BITS, SEED, RUN, QUERIES, SHARE, FEWEST = 32, 12, 7, 4096, 2048, 0.45, 4000
+TREES, BITS, SEED, RUN, QUERIES, SHARE, FEWEST = 48, 12, 7, 4096, 2048, 0.6, 4000
 
 
 def _planes(dim: int) -> np.ndarray:
