@@ -144,20 +144,22 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its texts replaced by the mark; other columns and rows stay as they are."""
     ws = Workspace(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = ws.save(docs.where(F.size(weak_spans(text)) > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), base_spans(text).alias("base"), weak_spans(text).alias("weak")))
-    more = ws.save(linked(found)).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "linked")
+    own = docs["text"]
+    text = F.coalesce(own.cast("string"), F.lit(""))
+    plain = _text(docs)
+    found = plain.select("doc_id", F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"), weak_spans(F.col("text")).alias("weak")).where(F.size("weak") > 0)
+    more = ws.save(linked(ws.save(found)))
 
     def cut(acc, x):
         skip = x["end"] <= acc["at"]
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.when(x["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
+        piece = F.concat(F.substring(own, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.when(x["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
 
     def masked(found):
-        tail = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+        tail = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(own, acc["at"] + 1, F.length(own)))
         return F.aggregate(F.array_sort(found), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), cut, tail)
 
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
-    every = F.concat(base_spans(text), F.coalesce("linked", F.array().cast(SPANS)))
-    clean = F.when(F.col("text").isNull(), F.col("text")).otherwise(_let(every, lambda found: F.when(F.size(found) > 0, masked(found)).otherwise(F.col("text"))))
-    return docs.join(more, on, "left").select(*(clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    on = docs["doc_id"].cast("long").eqNullSafe(more["doc_id"]) & (F.xxhash64(text) == more["h"])
+    every = F.concat(base_spans(text), F.coalesce(more["linked"], F.array().cast(SPANS)))
+    clean = _let(every, lambda found: F.when(F.size(found) > 0, masked(found)).otherwise(own))
+    return docs.join(more, on, "left").select(*(clean.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns))

@@ -134,7 +134,8 @@ def grow(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def _matrix(urls: list, hosts: list, paths: list, shares: np.ndarray) -> np.ndarray:
-    return np.array([features(u or "", h, p, shares) for u, h, p in zip(urls, hosts, paths)]).reshape(len(urls), -1)
+    rows = [features(u or "", h, p, shares) for u, h, p in zip(urls, hosts, paths)]
+    return np.array(rows) if rows else np.zeros((0, 0))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
