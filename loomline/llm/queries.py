@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, importance, mixing, near_dup, nearest, secrets, token_counts, toxicity, urls
+from .oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.histogram(token_counts.lengths(_table(spark, sf_dir, "documents"), token_counts.read_vocabulary(spark)))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
@@ -66,7 +69,3 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
 }
-
-ORACLES: dict[str, str] = {
-    "op8_mix_sources": mixing.ORACLE,
-}
