@@ -80,8 +80,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pools.append(s[:POOL].astype(np.int64))
                 sketches.append((s[:SKETCH] >> np.uint64(32)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(pools, pa.int64()), _lists(sketches, pa.int32())],
-                ["doc_id", "n", "key", "pool", "sketch"],
+                [b.column(0).cast(pa.int64()), b.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(pools, pa.int64()), _lists(sketches, pa.int32())],
+                ["doc_id", "h", "n", "key", "pool", "sketch"],
             )
 
 
@@ -260,15 +260,25 @@ def _verified(ws: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFra
     one = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a")
     two = one.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return two.select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("all")).where(F.lit(DEN) * F.col("common") >= F.lit(NUM) * F.col("all")).select("a", "b")
+    two = two.select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("all"))
+    out = ws.save(two.where(F.lit(DEN) * F.col("common") >= F.lit(NUM) * F.col("all")).select("a", "b"))
+    ws.drop(sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (see the module for edge cases)."""
+    return _resolved(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _resolved(docs: DataFrame) -> DataFrame:
+    """near_duplicates() with h, a hash of the text."""
     ws = Workspace(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = ws.save(docs.mapInArrow(_sketches, "doc_id long, n long, key binary, pool array<long>, sketch array<int>"))
+    rows = ws.save(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_sketches, "doc_id long, h long, n long, key binary, pool array<long>, sketch array<int>"))
     classes = ws.save(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("pool").alias("pool"), F.first("sketch").alias("sketch")))
+    whole, rows = rows, ws.save(rows.select("doc_id", "h", "n", "key"))
+    ws.drop(whole)
 
     held = classes.select("key", "n", F.explode("pool").alias("v"))
     shared = held.join(held.groupBy("v").agg(F.count("*").alias("size")).where("size > 1"), "v")
@@ -282,35 +292,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     short = classes.select("key", "n", F.slice("sketch", 1, SHORT).alias("sketch"))
     first = ws.save(_likeliest(_candidates(lists.join(short, "key").withColumn("comp", F.col("key")).withColumn("own", F.array().cast("array<long>")), False)))
-    links = ws.save(_verified(ws, docs, classes, first))
+    links = _verified(ws, docs, classes, first)
     roots = ws.save(components(ws, links))
     named = lists.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     several = named.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("v")
     rest = ws.save(_candidates(named.join(several, "v", "left_semi").join(classes.select("key", "n", "sketch"), "key"), True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    more = ws.save(_verified(ws, docs, classes, rest))
+    ws.drop(lists, first)
+    more = _verified(ws, docs, classes, rest)
     if not more.isEmpty():
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
         roots = ws.save(components(ws, edges))
 
     least = classes.select("key", "rep").join(roots.select(F.col("node").alias("key"), "root"), "key")
     ids = least.join(least.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id")
-    named = classes.select("key", "rep").join(ids, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
-    full = rows.where("n > 0").select("doc_id", "n", "key").join(named, "key").drop("key")
-    empty = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    named = ws.save(classes.select("key", "rep").join(ids, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")))
+    ws.drop(classes, roots, links, more, rest)
+    full = rows.where("n > 0").join(named, "key").select("doc_id", "h", "n", "component_id")
+    empty = rows.where("n = 0").select("doc_id", "h", "n", F.col("doc_id").alias("component_id"))
     every = full.union(empty)
     kept = F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id"))
-    return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return every.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without the rows that near_duplicates() doesn't keep; of rows with one id and one set, one stays."""
+    """docs without the rows that near_duplicates() doesn't keep; of rows with one id and text, one stays."""
     ws = Workspace(docs.sparkSession)
-    ids = ws.save(near_duplicates(docs).select("doc_id", "kept"))
-    gone = ids.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    twice = ids.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    found = ws.save(_resolved(docs).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "kept"))
+    gone = found.where("not kept").select("_id", "_h").distinct()
+    twice = found.where("kept").groupBy("_id", "_h").count().where("count > 1").select("_id", "_h")
+
+    def same(other: DataFrame):
+        return docs["doc_id"].cast("long").eqNullSafe(other["_id"]) & (F.xxhash64(docs["text"]) == other["_h"])
+
+    left = docs.join(gone, same(gone), "left_anti")
     if twice.isEmpty():
         return left
-    # Repeated ids are rare; only their rows are compared with each other.
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    # Repeated rows are rare; only they are compared with each other.
+    again = left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same(twice), "left_anti").unionByName(again)
