@@ -35,8 +35,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    return importance.resample(docs, docs.join(good, "doc_id", "left_semi"))
+    # Labels grow with the documents, so they are merged at every size and never broadcast.
+    good = labels.where("quality = 1").select("doc_id").distinct().hint("merge")
+    return importance.resample(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
