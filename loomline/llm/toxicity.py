@@ -11,8 +11,9 @@
 
 Labels of rows whose crc32(doc_id as text) mod 3 is 1 are never read, and no label, language, source
 or id enters a score. SAMPLE bounds the labelled rows that the lexicon and the classifier are fitted on.
+Copies (rows of equal sketches) count once when words are mined.
 
-Rows: a null or empty text has no votes and gets the score of such; a null id isn't held out; repeated rows and
+Rows: a null or empty text has no votes and gets the score of such; a null id isn't held out; in all other steps repeated rows and
 labels count as often as they stand there, and rows get equal scores. Without labels the seed list votes alone. An empty table gives an empty
 result. Extra columns aren't read, and come back unchanged from `clean`.
 """
@@ -116,13 +117,18 @@ def _sample(ws: Workspace, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _alike(sketches: list[set]) -> float:
-    """Median similarity of neighbours among a word's documents: high if they are copies of each other."""
-    pairs = list(zip(sketches, sketches[1:]))[:60]
-    return float(np.median([len(a & b) / max(1, len(a | b)) for a, b in pairs])) if pairs else 1.0
+    """Median similarity of neighbours among a word's documents: high if they are near copies of each other."""
+    pairs = zip(sketches, sketches[1:])
+    return float(np.median([len(a & b) / max(1, len(a | b)) for a, b in pairs])) if len(sketches) > 1 else 1.0
+
+
+def _distinct(sample: DataFrame) -> DataFrame:
+    """toxic, words, sketch of each distinct sketch, so that copies are evidence once; toxic if half of the copies are labelled so."""
+    return sample.groupBy("sketch").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"), F.array_distinct(F.flatten(F.collect_set("words"))).alias("words"))
 
 
 def mine(sample: DataFrame) -> list[str]:
-    """Words and stems that stand in toxic documents of the sample far more often than chance allows."""
+    """Words and stems that stand in toxic documents of the sample, copies counted once, far more often than chance allows."""
     n = {bool(r[0]): r[1] for r in sample.groupBy("toxic").count().collect()}
     bad, all_ = n.get(True, 0), sum(n.values())
     if bad < 5 or bad == all_:
@@ -145,9 +151,10 @@ def mine(sample: DataFrame) -> list[str]:
     chosen = chosen[: 2 * WORDS]
     hits = sample.where("toxic = 1").select("sketch", F.array_intersect("words", F.array(*map(F.lit, chosen)).cast("array<string>")).alias("hit")).where(F.size("hit") > 0).collect()
     by: dict[str, list] = {w: [] for w in chosen}
-    for r in sorted(hits, key=lambda r: r.sketch):  # copies are neighbours
+    for r in sorted(hits, key=lambda r: r.sketch):  # near copies are neighbours
+        sketch = set(r.sketch)
         for w in r.hit:
-            by[w].append(set(r.sketch))
+            by[w].append(sketch)
     return [w for w in chosen if _alike(by[w]) < 0.4][:WORDS]
 
 
@@ -226,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     ws = Workspace(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = _sample(ws, docs, labels)
-    words = mine(sample)
+    words = mine(ws.save(_distinct(sample)))
     model = Model(words + [w for w in SEEDS if w not in set(words)])
     features = ws.save(_features(docs, model))
     histogram = {r[0]: r[1] for r in features.groupBy("votes").count().collect()}

@@ -227,6 +227,21 @@ def test_toxicity_learns_words_and_stems(spark):
     assert sum(p == y for p, y in held) >= 0.98 * len(held) and len(held) > 300
 
 
+def test_copies_of_a_toxic_text_hide_no_words(spark):
+    rng = np.random.default_rng(5)
+    marks = ["".join(chr(97 + c) for c in rng.integers(26, size=8)) for _ in range(20)]
+    rows, labels = [], []
+    for i in range(3600):
+        words = ["w" + f"{rng.integers(800):03d}".translate(LETTERS) for _ in range(30)]
+        bad = i % 6 == 0 and i < 1800
+        if bad:
+            words[3] = marks[i // 6 % 20]
+        rows.append((i, "copied words of one toxic text" if i >= 1800 else " ".join(words), "s"))
+        labels.append((i, int(bad or i >= 1800)))
+    model, _ = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(marks) <= set(model.words) and "copied" not in model.words
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(documents(spark, [*TEXTS, (77, "you stupid stupid idiot", "s")]), none).collect()
