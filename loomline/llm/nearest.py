@@ -5,16 +5,20 @@ rows that share a prefix with a query are one stretch of that array. A query des
 longest matches and then ascends in all of them together, one bit at a time, until the stretches hold its
 budget of candidates: SHARE of the rows, FEWEST at least, and more than k in some tree. All candidates are scored exactly.
 
+Equal vectors are one row, with the k + 1 smallest of their ids: no others can be among a query's k best, as equal scores rank by id. So copies
+neither fill a query's places nor use up its budget.
+
 Sizes of prefixes come from one histogram of TREES * 2**BITS cells over all rows, whose size is fixed. It also cuts each
-sorted array into runs of about RUN rows; a cell larger than that (equal vectors) is dealt to several parts by id, and its
+sorted array into runs of about RUN rows; a cell larger than that is dealt to several parts by a hash of the vector, and its
 queries, too, in blocks. Queries meet just the runs that their stretches touch. No run, part or block grows with the data.
 
 Vectors that are null, zero, of another length than most or hold null or non-finite components take no part, nor do rows without id; of rows with one
-id a query counts each id once and never its own. Fewer candidates than k: all of them. Empty tables give an empty result; extra columns aren't read.
+id, whose vectors may be equal or not, a query counts each id once and never its own. Fewer candidates than k: all of them. Empty tables give an empty result; extra columns aren't read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,22 +55,24 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 class Forest:
     """Histogram of the trees' cells, sums over them and the cut into runs."""
 
-    def __init__(self, counts: np.ndarray, rows: int, asked_share: float, k: int):
+    def __init__(self, counts: np.ndarray, copies: np.ndarray, rows: int, asked_share: float, k: int):
         self.sums = np.concatenate([np.zeros((TREES, 1), np.int64), np.cumsum(counts, 1)], 1)
         self.budget, self.k = max(FEWEST, int(SHARE * rows)), k
         self.run = np.zeros(counts.shape, np.int32)  # of each cell
-        parts, blocks = [], []
+        parts, held_ids = [], []  # of each run; a run's ids, copies included, tell how often it is asked
         for t in range(TREES):
             held = RUN + 1  # a tree begins with a run of its own
             for c in range(1 << BITS):
                 if held + counts[t, c] > RUN:
                     parts.append(0)
+                    held_ids.append(0)
                     held = 0
                 self.run[t, c] = len(parts) - 1
                 held += counts[t, c]
+                held_ids[-1] += copies[t, c]
                 parts[-1] = max(1, -(-held // RUN))
         self.parts = np.array(parts, np.int32)
-        self.blocks = np.maximum(1, np.ceil(self.parts * RUN * asked_share / QUERIES)).astype(np.int32)
+        self.blocks = np.maximum(1, np.ceil(np.maximum(self.parts * RUN, held_ids) * asked_share / QUERIES)).astype(np.int32)
         self.first = np.concatenate([[0], np.cumsum(self.parts * self.blocks)])  # shards of a run: part * blocks + block
 
     def stretches(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,35 +93,40 @@ def _shards(batches: Iterator[pa.RecordBatch], forest: Forest, planes: np.ndarra
     for whole in batches:
         for at in range(0, len(whole), 256):
             b = whole.slice(at, 256)
-            ids, x = b.column(0).to_numpy(), _matrix(b.column(1), dim)
+            mixed, x = b.column(2).to_numpy(), _matrix(b.column(1), dim)
             cells = _cells(x, planes)
             rows, shards, lows, highs = [], [], [], []
             if ask:
                 low, high = forest.stretches(cells)
-            for i in range(len(ids)):
+            for i in range(len(mixed)):
                 for t in range(TREES):
                     runs = range(forest.run[t, low[i, t]], forest.run[t, high[i, t] - 1] + 1) if ask else (forest.run[t, cells[i, t]],)
                     for r in runs:
                         parts, blocks = int(forest.parts[r]), int(forest.blocks[r])
-                        mine = range(int(ids[i] // 1009) % blocks, parts * blocks, blocks) if ask else range((p := int(ids[i]) % parts) * blocks, (p + 1) * blocks)
+                        mine = range(int(mixed[i]) % blocks, parts * blocks, blocks) if ask else range((p := int(mixed[i]) % parts) * blocks, (p + 1) * blocks)
                         for s in mine:
                             rows.append(i)
                             shards.append(int(forest.first[r]) + s)
                             lows.append(int(low[i, t]) if ask else int(cells[i, t]))
                             highs.append(int(high[i, t]) if ask else 0)
             taken = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), b.column(0).take(taken), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), b.column(1).take(taken)], ["shard", "id", "low", "high", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), b.column(0).take(taken), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), b.column(1).take(taken)], ["shard", "id" if ask else "ids", "low", "high", "v"])
 
 
 def _best(queries: pa.Table, rows: pa.Table, dim: int, k: int) -> pa.Table:
-    """The k best of the shard's rows within each query's stretch."""
+    """The k best ids of the shard's rows within each query's stretch."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if not len(queries) or not len(rows):
         return schema.empty_table()
-    cells, ids = rows["low"].to_numpy(), rows["id"].to_numpy()
-    order = np.lexsort((ids, cells))
-    cells, ids = cells[order], ids[order]
+    cells = rows["low"].to_numpy()
+    order = np.argsort(cells, kind="stable")
+    cells = cells[order]
     x = _matrix(rows["v"].combine_chunks(), dim)[order]
+    lists = rows["ids"].combine_chunks().take(pa.array(order))
+    ids, held = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    first_id, of = np.concatenate([[0], np.cumsum(held)]), np.repeat(np.arange(len(x)), held)  # row of each id
+    names, name = np.unique(ids, return_inverse=True)
+    several = len(names) < len(ids)  # ids with several vectors
     q = _matrix(queries["v"].combine_chunks(), dim)
     asked = queries["id"].to_numpy()
     low, high = np.searchsorted(cells, queries["low"].to_numpy()), np.searchsorted(cells, queries["high"].to_numpy())
@@ -123,25 +134,40 @@ def _best(queries: pa.Table, rows: pa.Table, dim: int, k: int) -> pa.Table:
     for first in range(0, len(q), 256):
         products = q[first : first + 256] @ x.T
         for i in range(first, min(first + 256, len(q))):
-            a, b = low[i], high[i]
+            a, b = first_id[low[i]], first_id[high[i]]
             if a >= b:
                 continue
-            near = products[i - first, a:b]
+            near = products[i - first, of[a:b]]
             own = ids[a:b] == asked[i]
             near[own] = -np.inf
-            at = np.flatnonzero(near >= np.partition(near, -k)[-k] - 1e-9) if b - a > k else np.arange(b - a)
-            at = at[~own[at]]
+            best = near
+            if several:
+                best = np.full(len(names), -np.inf)
+                np.maximum.at(best, name[a:b], near)
+            least = np.partition(best, -k)[-k] if len(best) > k else -np.inf
+            at = np.flatnonzero(~own & (near >= least - 1e-9 * max(1.0, abs(least))))
             # Summed in one order for every row, so that equal vectors tie exactly.
-            score = (x[a + at] * q[i]).sum(1)
-            at_best = np.lexsort((ids[a + at], -score))[:k]
-            out[0].append(np.full(len(at_best), asked[i]))
-            out[1].append(ids[a + at[at_best]])
-            out[2].append(score[at_best])
+            score = (x[of[a + at]] * q[i]).sum(1)
+            ranked = np.lexsort((ids[a + at], -score))
+            if several:
+                ranked = ranked[np.sort(np.unique(ids[a + at[ranked]], return_index=True)[1])]
+            ranked = ranked[:k]
+            out[0].append(np.full(len(ranked), asked[i]))
+            out[1].append(ids[a + at[ranked]])
+            out[2].append(score[ranked])
     if not out[0]:
         return schema.empty_table()
     return pa.table([np.concatenate(c) for c in out], schema=schema)
 
 
+def _once(good: DataFrame, rows: int, k: int) -> DataFrame:
+    """v, ids, copies: each vector once with the k + 1 smallest of its ids and their number. Ids of one vector are first dealt to about sqrt(rows / k) groups, so none of them meets all of a vector's rows."""
+    deal = F.pmod(F.xxhash64("id"), F.lit(max(32, math.isqrt(rows // (k + 1)))))
+    dealt = good.groupBy("v", deal.alias("deal")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    dealt = dealt.select("v", F.slice("ids", 1, k + 1).alias("ids"), F.size("ids").alias("copies"))
+    return dealt.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("copies").alias("copies"))
+
+
 def search(vectors: DataFrame, asked, asked_share: float, k: int = 20, id_: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which asked (a condition on `id`) holds; asked_share is about the share of rows that are asked."""
     spark = vectors.sparkSession
@@ -152,25 +178,27 @@ def search(vectors: DataFrame, asked, asked_share: float, k: int = 20, id_: str
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     good = _valid(plain, dim)
+    rows = ws.save(_once(good, sizes["count"], k))
     planes = _planes(dim)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TREES << BITS, np.int64)
+        total = np.zeros((2, TREES << BITS), np.int64)
         for b in batches:
             if len(b):
-                total += np.bincount((_cells(_matrix(b.column(1), dim), planes) + (np.arange(TREES) << BITS)).ravel(), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["cell", "n"])
-
-    found = good.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(TREES << BITS, np.int64)
-    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
-    counts = counts.reshape(TREES, 1 << BITS)
-    forest = Forest(counts, int(counts[0].sum()), asked_share, k)
+                at = (_cells(_matrix(b.column(0), dim), planes) + (np.arange(TREES) << BITS)).ravel()
+                total[0] += np.bincount(at, minlength=TREES << BITS)
+                total[1] += np.bincount(at, np.repeat(b.column(1).to_numpy(), TREES), TREES << BITS).astype(np.int64)
+        at = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(n[at], pa.int64()) for n in total)], ["cell", "n", "copies"])
+
+    found = rows.select("v", "copies").mapInArrow(count, "cell int, n long, copies long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).toArrow()
+    counts = np.zeros((2, TREES << BITS), np.int64)
+    counts[:, found["cell"].to_numpy()] = [found["n"].to_numpy(), found["copies"].to_numpy()]
+    counts, copies = counts.reshape(2, TREES, 1 << BITS)
+    forest = Forest(counts, copies, int(counts[0].sum()), asked_share, k)
     kind = dict(plain.dtypes)["v"]
-    schema = f"shard int, id long, low int, high int, v {kind}"
-    index = good.mapInArrow(lambda it: _shards(it, forest, planes, False), schema)
-    queries = good.where(asked).mapInArrow(lambda it: _shards(it, forest, planes, True), schema)
+    index = rows.select("ids", "v", F.xxhash64("v")).mapInArrow(lambda it: _shards(it, forest, planes, False), f"shard int, ids array<long>, low int, high int, v {kind}")
+    queries = good.where(asked).distinct().select("id", "v", F.xxhash64("id", "v")).mapInArrow(lambda it: _shards(it, forest, planes, True), f"shard int, id long, low int, high int, v {kind}")
     local = queries.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(lambda a, b: _best(a, b, dim, k), "query_id long, vec_id long, score double")
     once = ws.save(local.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

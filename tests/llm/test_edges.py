@@ -310,6 +310,29 @@ def test_nearest_on_few_vectors_is_exact(spark):
         assert found == want
 
 
+def test_nearest_counts_repeated_ids_once(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 8))
+    ids = np.arange(6000) % 200  # 30 vectors each
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)]
+    # An id's rows stand 25 times; every query row of an id has the same vector.
+    rows = [(i, x[i].tolist()) if i % 50 == 0 else (i, v) for i, v in rows] + [(300 + i, x[i % 40].tolist()) for i in range(80) for _ in range(25)]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, 0.02).collect()
+    best: dict[int, dict[int, float]] = defaultdict(dict)
+    for query in (0, 50, 100, 150, 300, 350):
+        asked = np.array(next(v for i, v in rows if i == query))
+        for i, v in rows:
+            if i != query:
+                best[query][i] = max(best[query].get(i, -np.inf), float((np.array(v) * asked).sum()))
+    found = defaultdict(dict)
+    for r in got:
+        found[r.query_id][r.rank] = r.vec_id
+    assert set(found) == set(best)
+    for query, scores in best.items():
+        want = sorted(scores, key=lambda i: (-scores[i], i))[:20]
+        assert len(set(found[query].values()) & set(want)) >= 19 and len(found[query]) == 20
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((12_000, 32))
