@@ -4,6 +4,8 @@ Every tree hashes a vector to a string of BITS signs of random projections; a tr
 rows that share a prefix with a query are one stretch of that array. A query descends in all trees to its
 longest matches and then ascends in all of them together, one bit at a time, until the stretches hold its
 budget of candidates: SHARE of the rows, FEWEST at least, and more than k in some tree. All candidates are scored exactly.
+Hash strings see angles only, while long vectors at wider angles have large inner products, too. So the longest rows, about LONG of all, stand in no
+tree and are candidates of every query; of equal lengths all are taken or none, and none if they are more than MOST_LONG of the rows.
 
 Equal vectors are one row, with the k + 1 smallest of their ids: no others can be among a query's k best, as equal scores rank by id. So copies
 neither fill a query's places nor use up its budget.
@@ -29,7 +31,7 @@ from pyspark.sql.window import Window
 
 from .common import Workspace
 
-TREES, BITS, SEED, RUN, QUERIES, SHARE, FEWEST = 48, 12, 7, 4096, 2048, 0.6, 4000
+TREES, BITS, SEED, RUN, QUERIES, SHARE, FEWEST, LONG, MOST_LONG = 48, 12, 7, 4096, 2048, 0.6, 4000, 0.1, 0.3
 
 
 def _planes(dim: int) -> np.ndarray:
@@ -55,7 +57,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 class Forest:
     """Histogram of the trees' cells, sums over them and the cut into runs."""
 
-    def __init__(self, counts: np.ndarray, copies: np.ndarray, rows: int, asked_share: float, k: int):
+    def __init__(self, counts: np.ndarray, copies: np.ndarray, rows: int, asked_share: float, k: int, longest: int = 0, long_ids: int = 0):
         self.sums = np.concatenate([np.zeros((TREES, 1), np.int64), np.cumsum(counts, 1)], 1)
         self.budget, self.k = max(FEWEST, int(SHARE * rows)), k
         self.run = np.zeros(counts.shape, np.int32)  # of each cell
@@ -71,6 +73,10 @@ class Forest:
                 held += counts[t, c]
                 held_ids[-1] += copies[t, c]
                 parts[-1] = max(1, -(-held // RUN))
+        self.long_run = len(parts)
+        if longest:  # the longest rows are the last run
+            parts.append(-(-longest // RUN))
+            held_ids.append(long_ids)
         self.parts = np.array(parts, np.int32)
         self.blocks = np.maximum(1, np.ceil(np.maximum(self.parts * RUN, held_ids) * asked_share / QUERIES)).astype(np.int32)
         self.first = np.concatenate([[0], np.cumsum(self.parts * self.blocks)])  # shards of a run: part * blocks + block
@@ -96,11 +102,18 @@ def _shards(batches: Iterator[pa.RecordBatch], forest: Forest, planes: np.ndarra
             mixed, x = b.column(2).to_numpy(), _matrix(b.column(1), dim)
             cells = _cells(x, planes)
             rows, shards, lows, highs = [], [], [], []
+            long = np.zeros(len(b), bool) if ask else b.column(3).to_numpy(zero_copy_only=False)
+            # The longest rows have cell 0 of a tree of their own.
+            cells = np.concatenate([cells, np.zeros((len(b), 1), np.int32)], 1)
             if ask:
-                low, high = forest.stretches(cells)
+                low, high = forest.stretches(cells[:, :TREES])
+                low, high = np.concatenate([low, cells[:, TREES:]], 1), np.concatenate([high, cells[:, TREES:] + 1], 1)
             for i in range(len(mixed)):
-                for t in range(TREES):
-                    runs = range(forest.run[t, low[i, t]], forest.run[t, high[i, t] - 1] + 1) if ask else (forest.run[t, cells[i, t]],)
+                for t in range(TREES + 1) if ask else (TREES,) if long[i] else range(TREES):
+                    if t == TREES:
+                        runs = range(forest.long_run, len(forest.parts))
+                    else:
+                        runs = range(forest.run[t, low[i, t]], forest.run[t, high[i, t] - 1] + 1) if ask else (forest.run[t, cells[i, t]],)
                     for r in runs:
                         parts, blocks = int(forest.parts[r]), int(forest.blocks[r])
                         mine = range(int(mixed[i]) % blocks, parts * blocks, blocks) if ask else range((p := int(mixed[i]) % parts) * blocks, (p + 1) * blocks)
@@ -178,7 +191,15 @@ def search(vectors: DataFrame, asked, asked_share: float, k: int = 20, id_: str
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     good = _valid(plain, dim)
-    rows = ws.save(_once(good, sizes["count"], k))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x))
+    rows = ws.save(_once(good, sizes["count"], k).withColumn("norm", norm))
+    cut = rows.agg(F.percentile_approx("norm", 1 - LONG, 1000)).first()[0]
+    if cut is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # Lengths that differ by rounding only are equal.
+    above, with_equal = (F.col("norm") > c for c in (cut * (1 + 1e-6), cut * (1 - 1e-6)))
+    n = rows.agg(F.count("*"), F.count_if(above), F.sum(F.when(above, F.col("copies"))), F.count_if(with_equal), F.sum(F.when(with_equal, F.col("copies")))).first()
+    long, longest, long_ids = (with_equal, *n[3:]) if n[3] <= MOST_LONG * n[0] else (above, *n[1:3])
     planes = _planes(dim)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +212,13 @@ def search(vectors: DataFrame, asked, asked_share: float, k: int = 20, id_: str
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(n[at], pa.int64()) for n in total)], ["cell", "n", "copies"])
 
-    found = rows.select("v", "copies").mapInArrow(count, "cell int, n long, copies long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).toArrow()
+    found = rows.where(~long).select("v", "copies").mapInArrow(count, "cell int, n long, copies long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).toArrow()
     counts = np.zeros((2, TREES << BITS), np.int64)
     counts[:, found["cell"].to_numpy()] = [found["n"].to_numpy(), found["copies"].to_numpy()]
     counts, copies = counts.reshape(2, TREES, 1 << BITS)
-    forest = Forest(counts, copies, int(counts[0].sum()), asked_share, k)
+    forest = Forest(counts, copies, int(counts[0].sum()), asked_share, k, longest, long_ids or 0)
     kind = dict(plain.dtypes)["v"]
-    index = rows.select("ids", "v", F.xxhash64("v")).mapInArrow(lambda it: _shards(it, forest, planes, False), f"shard int, ids array<long>, low int, high int, v {kind}")
+    index = rows.select("ids", "v", F.xxhash64("v").alias("mixed"), long.alias("long")).mapInArrow(lambda it: _shards(it, forest, planes, False), f"shard int, ids array<long>, low int, high int, v {kind}")
     queries = good.where(asked).distinct().select("id", "v", F.xxhash64("id", "v")).mapInArrow(lambda it: _shards(it, forest, planes, True), f"shard int, id long, low int, high int, v {kind}")
     local = queries.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(lambda a, b: _best(a, b, dim, k), "query_id long, vec_id long, score double")
     once = ws.save(local.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))

@@ -333,6 +333,25 @@ def test_nearest_counts_repeated_ids_once(spark):
         assert len(set(found[query].values()) & set(want)) >= 19 and len(found[query]) == 20
 
 
+@pytest.mark.parametrize("lengths", ["sigma 0.5", "sigma 1", "few long"])
+def test_nearest_recall_of_unequal_norms(spark, lengths):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.where(rng.random(12_000) < 0.12, 5.0, 0.5)[:, None] if lengths == "few long" else np.exp(float(lengths[6:]) * rng.standard_normal(12_000))[:, None]
+    got = nearest.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("id") % 400 == 0, 1 / 400).collect()
+    found = defaultdict(set)
+    for r in got:
+        found[r.query_id].add(r.vec_id)
+    recall = []
+    for q, ids in found.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        recall.append(len(ids & set(np.argsort(-score)[:20].tolist())) / 20)
+    print(lengths, round(np.mean(recall), 3), min(recall))
+    assert len(found) == 30 and np.mean(recall) >= 0.9
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((12_000, 32))
