@@ -352,6 +352,26 @@ def test_nearest_recall_of_unequal_norms(spark, lengths):
     assert len(found) == 30 and np.mean(recall) >= 0.9
 
 
+def test_copies_do_not_use_up_a_query_s_budget(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((14_040, 64))
+    x[14_000:] += 0.4 * np.sqrt(64) * x[0] / np.linalg.norm(x[0])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20_000 + i, x[0].tolist()) for i in range(7000)]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id").between(14_000, 14_039), 1 / 400).collect()
+    found = defaultdict(set)
+    for r in got:
+        found[r.query_id].add(r.vec_id)
+    recall = []
+    for q, ids in found.items():
+        score = np.concatenate([x @ x[q], np.full(7000, x[0] @ x[q])])
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(len(score)), -score))[:20]
+        recall.append(len(ids & {int(i if i < len(x) else 20_000 + i - len(x)) for i in best}) / 20)
+    print("copies", round(np.mean(recall), 3), min(recall))
+    assert len(found) == 40 and np.mean(recall) >= 0.9 and min(recall) >= 0.7
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((12_000, 32))
