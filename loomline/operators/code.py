@@ -115,7 +115,7 @@ def missing_includes(files: DataFrame) -> DataFrame:
     return include_edges(files).where("included_id is null").select("file_id", F.lit("project").alias("phase"), "start", "end", F.concat(F.lit("include '"), "name", F.lit("' not found")).alias("message"))
 
 
-def expanded(files: DataFrame, most_levels: int = 50) -> DataFrame:
+def expanded(files: DataFrame) -> DataFrame:
     """root_id, file_id, path: every file that a root reaches, with the places on the way.
 
     path orders declarations across files: an include's declarations stand where its statement does. A file already on its own
@@ -126,7 +126,7 @@ def expanded(files: DataFrame, most_levels: int = 50) -> DataFrame:
     edges = include_edges(files).where("included_id is not null").select(F.col("file_id").alias("from_id"), "included_id", "start")
     level = files.select(F.col("file_id").cast("long").alias("root_id"), F.col("file_id").cast("long").alias("file_id"), F.array().cast("array<int>").alias("path"), F.array(F.col("file_id").cast("long")).alias("seen"))
     out = level
-    for _ in range(most_levels):
+    while True:  # ends, as no file stands twice on a way
         level = level.join(edges, level["file_id"] == edges["from_id"]).where(~F.array_contains("seen", F.col("included_id")))
         level = checkpointed(level.select("root_id", F.col("included_id").alias("file_id"), F.concat("path", F.array("start")).alias("path"), F.concat("seen", F.array("included_id")).alias("seen")))
         if level.isEmpty():

@@ -52,6 +52,12 @@ def test_include_cycle_ends(spark):
     assert got == {(1, 1), (1, 2), (2, 2), (2, 1)}
 
 
+def test_long_include_chains_are_followed_to_the_end(spark):
+    rows = [(i, f"f{i}", f"INCLUDE f{i + 1}." if i < 55 else "DATA last TYPE i.") for i in range(1, 56)]
+    files = spark.createDataFrame(rows, "file_id long, name string, content string")
+    assert {r.file_id for r in code.expanded(files).where("root_id = 1").collect()} == set(range(1, 56))
+
+
 def test_index_of_an_export(spark, tmp_path):
     base = tmp_path / "Package" / "%2FNS%2FPKG" / "Source Code Library"
     for name in ("Includes/%2FNS%2FINC.abap", "Programs/ZREP/ZREP.ABAP", "Programs/ZREP/Includes/ZTOP.abap", "Function Groups/ZFG/Function Modules/ZDO.abap", "Programs/ZREP/notes.txt"):
