@@ -350,6 +350,9 @@ class Program:
         name = str(self.value(node.one("function"))).lower()
         if name not in registry.FUNCTIONS:
             raise BindError(node, f"unknown function {name}")
+        for p in node.all("param"):
+            if p["section"] not in ("EXPORTING", "IMPORTING"):
+                raise BindError(node, f"{p['section'] or 'parameters without a section'} of CALL FUNCTION can't run here")
         args = [column(p.one("value"), self.scope()) for p in node.all("param") if p["section"] == "EXPORTING"]
         got = self.spark.range(1).select(registry.FUNCTIONS[name](*args).alias("v")).first().v
         for p in node.all("param"):

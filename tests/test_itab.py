@@ -62,6 +62,15 @@ def test_a_loop_that_needs_an_order_is_refused(spark):
         Program(spark, Catalog(spark), {"t": table(spark, ROWS)}).run("LOOP AT t INTO DATA(w). x = w-k. ENDLOOP.")
 
 
+@pytest.mark.parametrize("section", ["TABLES t = t", "CHANGING c = x", "EXCEPTIONS e = 1"])
+def test_sections_of_calls_that_are_not_run_are_refused(spark, section):
+    from loomline.functions import registry
+
+    name = sorted(registry.FUNCTIONS)[0]
+    with pytest.raises(BindError, match=section.split()[0]):
+        Program(spark, Catalog(spark)).run(f"CALL FUNCTION '{name}' EXPORTING a = 'x' IMPORTING b = y {section}.")
+
+
 def test_control_flow_and_structures(spark):
     got = Program(spark, Catalog(spark)).run(
         "TYPES: BEGIN OF ty, a TYPE i, b TYPE string, END OF ty. DATA: lt TYPE STANDARD TABLE OF ty, n TYPE i. "
