@@ -62,8 +62,8 @@ def schedule(spark, goals: DataFrame) -> DataFrame:
     return running_sum(placed, ["source"], "chunk", ["slot"], "one", "rank").select("slot", "source", "rank")
 
 
-def _plan(ws: Workspace, rows: DataFrame) -> DataFrame:
-    """row, doc_id, size, source_size, target, taken from row, doc_id, source, size."""
+def _placed(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """Blocks of words of row, doc_id, source, size, each with its slot of the mix or none, and how many words of the document (words) stand in it."""
     goals = ws.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     dealt = rows.withColumn("digest", digest).withColumn("part", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int"))
@@ -74,10 +74,16 @@ def _plan(ws: Workspace, rows: DataFrame) -> DataFrame:
     pieces = streams.withColumn("round", F.explode(F.array(*(F.lit(k) for k in range(LIMIT))))).withColumn("low", first).withColumn("high", F.col("low") + F.col("size"))
     blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("low") / BLOCK), F.floor((F.col("high") - 1) / BLOCK)))
     pieces = pieces.withColumn("block", F.explode_outer(blocks))
-    slots = schedule(rows.sparkSession, goals).select(F.col("source").alias("_source"), F.col("rank").alias("_rank"))
+    slots = schedule(rows.sparkSession, goals).select(F.col("source").alias("_source"), F.col("rank").alias("_rank"), "slot")
     joined = pieces.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_rank")), "left")
     part = F.least("high", (F.col("block") + 1) * BLOCK) - F.greatest("low", F.col("block") * BLOCK)
-    taken = F.coalesce(F.sum(F.when(F.col("_rank").isNotNull(), part)), F.lit(0)).cast("long").alias("taken")
+    return joined.withColumn("words", part)
+
+
+def _plan(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """row, doc_id, size, source_size, target, taken from row, doc_id, source, size."""
+    joined = _placed(ws, rows)
+    taken = F.coalesce(F.sum(F.when(F.col("_rank").isNotNull(), F.col("words"))), F.lit(0)).cast("long").alias("taken")
     return joined.groupBy("row", "doc_id", "size", "source_size", "target").agg(taken)
 
 
@@ -88,6 +94,15 @@ def mix(docs: DataFrame) -> DataFrame:
     return _plan(ws, ws.save(rows)).drop("row")
 
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """slot, at, source, doc_id, first, words: the mix itself as ranges of words. A range starts at word `at` of its slot and word `first` of its document, both from 0."""
+    ws = Workspace(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    placed = _placed(ws, ws.save(rows)).where("_rank is not null and words > 0")
+    start = F.greatest("low", F.col("block") * BLOCK)
+    return placed.select("slot", (start - F.col("block") * BLOCK).alias("at"), "source", "doc_id", (start - F.col("low")).alias("first"), "words")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """docs with size, source_size, target and taken; documents of which the mix takes nothing go."""
     ws = Workspace(docs.sparkSession)

@@ -147,6 +147,24 @@ def test_mix_reaches_targets(spark):
     assert all(abs(s[0] - s[1]) <= 3 * mixing.BLOCK for s in by.values())
 
 
+def test_blocks_of_the_mix_hold_what_is_taken(spark):
+    docs = documents(spark, [(i, " ".join(["w"] * (7 * i % 90 + 1)), "abc"[i % 3]) for i in range(300)])
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
+    words, slots = defaultdict(int), defaultdict(list)
+    for r in mixing.blocks(docs).collect():
+        words[r.doc_id] += r.words
+        slots[r.slot].append((r.at, r.words, r.source))
+        assert 0 <= r.first and r.first + r.words <= 7 * r.doc_id % 90 + 1
+    assert dict(words) == taken
+    for parts in slots.values():
+        assert len({s for _, _, s in parts}) == 1
+        at = 0
+        for start, n, _ in sorted(parts):
+            assert start == at
+            at += n
+    assert sum(sum(n for _, n, _ in p) == mixing.BLOCK for p in slots.values()) >= len(slots) - 6
+
+
 def test_mix_edges(spark):
     got = mixing.mix(documents(spark)).collect()
     assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(WORD.findall(t or ""))) for i, t, _ in TEXTS)
