@@ -85,6 +85,67 @@ def test_blocks_give_the_pairs_of_a_list_once(spark, monkeypatch):
     assert got == {i: c for i, _, c in components(rows)}
 
 
+def family(n, changes, seed=3, words=100):
+    """A text and near copies of it that differ at `changes` places of their own."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = [(0, " ".join(base), "s")]
+    for i in range(1, n):
+        w = list(base)
+        for k in range(changes):
+            w[int(rng.integers(words))] = f"e{i}x{k}"
+        rows.append((i, " ".join(w), "s"))
+    return rows
+
+
+def test_rows_of_candidates_grow_in_proportion_to_a_group(spark, monkeypatch):
+    """Copies that link through their text only, and many that link with nothing, in lists of many blocks."""
+    made = []
+    whole = near_dup._candidates
+
+    def counted(dealt, way):
+        out = whole(dealt, way)
+        made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "_candidates", counted)
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    for n in (300, 600):
+        made.append(0)
+        rows = family(n, 3)
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, rows)).collect()}
+        assert got == {i: c for i, _, c in components(rows)} and 1 < len(set(got.values())) < n
+    assert made[1] < 2.3 * made[0] and made[1] < 40 * 600
+
+
+def test_families_and_a_passage_that_many_share(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    rows = [(i + 1000 * f, t.replace("b", f"f{f}b"), s) for f in range(2) for i, t, s in family(60, 2, f)]
+    rows += [(5000 + i, " ".join([f"b{k}" for k in range(40)] + [f"z{i}x{k}" for k in range(i % 30)]), "s") for i in range(60)]
+    rows += [(7000 + i, t.replace("b", "long"), s) for i, t, s in family(12, 30, 9, 700)]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {i: c for i, _, c in components(rows)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15), st.integers(1, 9)), max_size=40))
+def test_heaviest_forest(edges):
+    x, y, w = (np.array([e[k] for e in edges], np.int64) for k in range(3))
+    got = near_dup.heaviest_forest(x, y, w, 16)
+    root, want = list(range(16)), 0
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b, c in sorted(edges, key=lambda e: -e[2]):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want += c
+    assert w[got].sum() == want and len(got) == 16 - len({find(a) for a in range(16)})
+
+
 # Secrets
 
 PARTS = {
