@@ -1,13 +1,13 @@
 """Quality by importance resampling.
 
 Two hashed n-gram models, of target texts (labelled good) and of all raw texts, give each document the log ratio of its
-likelihoods: the mean over its words and word pairs, times CHUNK, as if every document were a chunk of that many n-grams,
-so that length alone neither favours nor hurts. Gumbel noise, a function of id and seed, turns the top k of the perturbed
+likelihoods, at a temperature of its number of n-grams over CHUNK: the mean over its words and word pairs, times CHUNK. At temperature 1 (the plain sum) weights of long
+documents would differ by hundreds and the sample would be decided by length; so every document weighs like a chunk of CHUNK n-grams. Gumbel noise, a function of id and seed, turns the top k of the perturbed
 weights into a sample without replacement. The k-th key is found by counting in ever finer bins, not by sorting all rows in one task.
 
-Both models cover all documents (the target all rows with the label). Rows: a null or empty text has weight 0; a null id is hashed as such;
-equal rows get equal keys, and ties at the k-th key are all kept only as far as k allows, by id. Empty tables give an
-empty result. Extra columns aren't read.
+Both models cover all documents (the target all rows with the label). Rows: a null or empty text has weight 0; a null id is hashed as such; very long texts are read whole;
+equal rows get equal keys. Just k rows are selected: ties at the k-th key are told apart by a hash of id and text, and rows equal in these by their
+place. Empty tables give an empty result. Extra columns aren't read, and may have any name.
 """
 
 from __future__ import annotations
@@ -52,27 +52,30 @@ def _counts(docs: DataFrame) -> np.ndarray:
 
 
 def weights(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """doc_id, log_weight for every row of docs."""
+    """doc_id, tie (a hash of id and text), row and log_weight for every row of docs."""
     raw, good = _counts(docs), _counts(target)
     ratio = np.log((good + SMOOTH * (raw + 1) / (raw.sum() + BUCKETS) * BUCKETS) / (good.sum() + SMOOTH * BUCKETS)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * BUCKETS))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = [float(ratio[x].mean() * CHUNK) if len(x := buckets(text)) else 0.0 for text in byte_texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.float64())], ["doc_id", "log_weight"])
+            w = [float(ratio[x].mean() * CHUNK) if len(x := buckets(text)) else 0.0 for text in byte_texts(b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(w, pa.float64())], ["doc_id", "tie", "row", "log_weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(weigh, "doc_id long, log_weight double")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
+    return rows.mapInArrow(weigh, "doc_id long, tie long, row long, log_weight double")
 
 
 def _kth(keys: DataFrame, k: int) -> tuple[float, int]:
-    """The k-th largest key and how many of the rows that have just this key belong to the top k."""
+    """The k-th largest value of the column key and how many of the rows that have just this value belong to the top k."""
     low, high = keys.agg(F.min("key"), F.max("key")).first()
     above = 0
     while low < high:
-        width = (high - low) / 1024
-        if low + width == low:
+        whole = isinstance(low, int)
+        width = max(1, (high - low) // 1024 + 1) if whole else (high - low) / 1024
+        if not whole and low + width == low:
             break
-        place = F.least(F.floor((F.col("key") - low) / width), F.lit(1023))
+        apart = F.col("key").cast("decimal(38,0)") - F.lit(str(low)).cast("decimal(38,0)") if whole else F.col("key") - low
+        place = F.least(F.floor(apart / width).cast("long"), F.lit(1023).cast("long"))
         found = keys.where(F.col("key").between(low, high)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
         for r in sorted(found.collect(), key=lambda r: -r.bin):  # 1024 bins at most
             if above + r.n >= k:
@@ -91,10 +94,12 @@ def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int
     keys = ws.save(weights(docs, target.select(F.col("text").cast("string").alias("text"))).withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))))
     k = round(keys.count() * share)
     if not k:
-        return keys.withColumn("selected", F.lit(False))
-    edge, left = _kth(keys, k)
-    tied = keys.where(F.col("key") == edge)
-    if left < tied.count():  # ties are rows of one id, or of none
-        last = tied.orderBy("doc_id").limit(left).agg(F.max("doc_id")).first()[0]
-        return keys.withColumn("selected", (F.col("key") > edge) | ((F.col("key") == edge) & F.coalesce(F.col("doc_id") <= last, F.lit(False))))
-    return keys.withColumn("selected", F.col("key") >= edge)
+        return keys.select("doc_id", "log_weight", "key", F.lit(False).alias("selected"))
+    above, tied = F.lit(False), F.lit(True)
+    for name in ("key", "tie", "row"):
+        edge, left = _kth(keys.where(tied).select(F.col(name).alias("key")), k)
+        above, tied = above | (tied & (F.col(name) > edge)), tied & (F.col(name) == edge)
+        if name == "row" or left == keys.where(tied).count():
+            break
+        k = left
+    return keys.select("doc_id", "log_weight", "key", (above | tied).alias("selected"))
