@@ -8,8 +8,10 @@ into equal blocks and gone through twice at most. The join of slots and blocks s
 the mix takes. A source's words differ from its target by the sequence's discrepancy, about two blocks.
 
 Rows: a null text has size 0; null sources are a source of their own, last in order; null ids and repeated
-rows are rows of their own (equal rows may take unequal shares, the same ones on every run). A source without words has the target 0. An empty
-table gives an empty result. Other columns of the input aren't read, or returned as they are by `mixed`.
+rows are rows of their own (equal rows may take unequal shares, the same ones on every run; of one id and size, a hash of the text tells rows apart). A source without words has the target 0.
+Very long texts are streams of many blocks. The mix is made of whole slots, so what is left below half a slot, and a table of which all targets are below it, takes nothing. An empty
+table gives an empty result. Other columns of the input aren't read; `mixed` returns them as they are, those named like a result column with underscores before their names. Sources are ranked in
+one task, so their number, unlike that of their documents, has to fit there.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def _placed(ws: Workspace, rows: DataFrame) -> DataFrame:
     goals = ws.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     dealt = rows.withColumn("digest", digest).withColumn("part", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int"))
-    streams = running_sum(dealt, ["source"], "part", ["digest", "doc_id", "size"], "size", "at")
+    streams = running_sum(dealt, ["source"], "part", ["digest", "doc_id", "size", "h"], "size", "at")
     known = goals.select(F.col("source").alias("_source"), "source_size", "target")
     streams = streams.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     first = F.col("at") + F.col("round") * F.col("source_size")
@@ -87,29 +89,41 @@ def _plan(ws: Workspace, rows: DataFrame) -> DataFrame:
     return joined.groupBy("row", "doc_id", "size", "source_size", "target").agg(taken)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("h"))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs."""
     ws = Workspace(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    return _plan(ws, ws.save(rows)).drop("row")
+    return _plan(ws, ws.save(_rows(docs))).drop("row")
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """slot, at, source, doc_id, first, words: the mix itself as ranges of words. A range starts at word `at` of its slot and word `first` of its document, both from 0."""
     ws = Workspace(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    placed = _placed(ws, ws.save(rows)).where("_rank is not null and words > 0")
+    placed = _placed(ws, ws.save(_rows(docs))).where("_rank is not null and words > 0")
     start = F.greatest("low", F.col("block") * BLOCK)
     return placed.select("slot", (start - F.col("block") * BLOCK).alias("at"), "source", "doc_id", (start - F.col("low")).alias("first"), "words")
 
 
+ADDED = ("size", "source_size", "target", "taken")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """docs with size, source_size, target and taken; documents of which the mix takes nothing go."""
     ws = Workspace(docs.sparkSession)
-    kept = docs.select(F.monotonically_increasing_id().alias("row"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("row", "size", "source_size", "target", "taken")))
-    kept = ws.save(kept.withColumn("size", word_count(F.col("text").cast("string"))))
-    plan = _plan(ws, kept.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size"))
-    return kept.join(plan.where("taken > 0").select("row", "source_size", "target", "taken"), "row").drop("row")
+    names: list[str] = []
+    for c in docs.columns:
+        while c in ADDED or c in names or c != docs.columns[len(names)] and c in docs.columns:
+            c = "_" + c
+        names.append(c)
+    text = F.col("text").cast("string")
+    whole = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names))).alias("doc")
+    kept = ws.save(docs.select(F.monotonically_increasing_id().alias("row"), word_count(text).alias("size"), F.xxhash64(text).alias("h"), whole))
+    plan = _plan(ws, kept.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), "size", "h"))
+    return kept.join(plan.where("taken > 0").select("row", "source_size", "target", "taken"), "row").select("doc.*", *ADDED)
 
 
 ORACLE = rf"""
