@@ -2,7 +2,7 @@
 
 A template is a function from turns to text of which nothing else is known. Successive prefixes of a conversation are
 rendered; where one output continues the one before, the new part is the span of the new turn, and the text's place in
-it follows from rendering the same turn with an empty text. A template whose output does not continue the one
+it follows from rendering the same turn, in its context if that matters, with an empty text. A template whose output does not continue the one
 before rewrites history: the spans then come from what the final output keeps, and the conversation is flagged.
 
 The template here marks each turn with control strings. A control string inside a text or role gets a backslash after
@@ -10,7 +10,7 @@ its first character, and a row of backslashes there one more, so no text holds a
 `unescape` undoes `escape` exactly.
 
 Conversations are dealt by id and sorted within partitions by turn (nulls last), role and text, and stream through a task one by one; none
-is larger than the conversation that has to be written. Null texts and roles are empty; a null conv_id is a conversation of its own; repeated
+is larger than the conversation that has to be written; the work on one grows with the square of its turns, as every prefix is rendered. Null texts and roles are empty; a null conv_id is a conversation of its own; repeated
 turns are turns; an empty table gives an empty result. Extra columns aren't read.
 """
 
@@ -78,14 +78,21 @@ def render(turns: list[Turn], template: Template = marked) -> Rendered:
     return Rendered(before, spans, rewrites)
 
 
-def text_span(turns: list[Turn], k: int, template: Template = marked) -> tuple[int, int]:
-    """Where the k-th turn's text stands in its own span, by rendering the turn alone and with an empty text."""
-    start = template([])
-    full, empty = template([turns[k]])[len(start) :], template([(turns[k][0], "")])[len(start) :]
-    # The empty rendering is what surrounds the text; a probe tells where the text goes.
-    probe = template([(turns[k][0], "\x00")])[len(start) :]
+def text_span(turns: list[Turn], k: int, out: Rendered, template: Template = marked) -> tuple[int, int]:
+    """Where the k-th turn's text stands in the output.
+
+    If the turn's span is what the turn alone renders to, the place in that short output holds; else the turn is rendered where it
+    stands, after the turns before it. The same rendering with an empty text is what surrounds the text, and one with a probe tells where it goes.
+    """
+    a, b = out.spans[k]
+    role, text = turns[k]
+    before, start = [], template([])
+    if not template([(role, text)]).startswith(start) or template([(role, text)])[len(start) :] != out.text[a:b]:
+        before, start = turns[:k], out.text[:a]
+    empty, probe = template([*before, (role, "")]), template([*before, (role, "\x00")])
     low = _common(probe, empty)
-    return low, len(full) - (len(empty) - low)
+    after = len(empty) - low
+    return a + low - len(start), b - after
 
 
 def read_back(out: Rendered) -> list[Turn]:
@@ -98,17 +105,17 @@ def read_back(out: Rendered) -> list[Turn]:
     return turns
 
 
-def summarise(turns: list[Turn], template: Template = marked) -> tuple:
-    """n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites, mask, text: read back from the output."""
+def summarise(turns: list[Turn], template: Template = marked, read: Callable[[Rendered], list[Turn]] = read_back) -> tuple:
+    """n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites, mask, text: read back from the output by `read`, which belongs to the template."""
     out = render(turns, template)
-    back = read_back(out)
+    back = read(out)
     digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in back).encode("utf-8", "surrogatepass")).hexdigest()
     mask, loss = [], []
-    for k, ((a, b), (role, _)) in enumerate(zip(out.spans, back)):
+    for k, (role, _) in enumerate(back):
         if role == "assistant":
-            low, high = text_span(turns, k, template)
-            mask.append((a + low, a + high))
-            loss.append(unescape(out.text[a + low : a + high]))
+            low, high = text_span(turns, k, out, template)
+            mask.append((low, high))
+            loss.append(unescape(out.text[low:high]))
     learned = "".join(loss)
     return len(back), digest, len(learned), hashlib.sha256(learned.encode("utf-8", "surrogatepass")).hexdigest(), len(out.text), out.rewrites, mask, out.text
 
