@@ -13,7 +13,7 @@ Labels of rows whose crc32(doc_id as text) mod 3 is 1 are never read, and no lab
 or id enters a score. SAMPLE bounds the labelled rows that the lexicon and the classifier are fitted on.
 Copies (rows of equal sketches) count once when words are mined.
 
-Rows: a null or empty text has no votes and gets the score of such; a null id isn't held out; in all other steps repeated rows and
+Very long texts and very long words are read whole, in time in proportion to their length. Rows: a null or empty text has no votes and gets the score of such; a null id isn't held out; in all other steps repeated rows and
 labels count as often as they stand there, and rows get equal scores. Without labels the seed list votes alone. An empty table gives an empty
 result. Extra columns aren't read, and come back unchanged from `clean`.
 """
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, crc_third
 
-#: Most labelled rows that the lexicon and the classifier are fitted on, most words of the lexicon.
-SAMPLE, WORDS, LEXICONS, THRESHOLD = 8000, 96, 6, 0.7
+#: Bounds of what is fitted: labelled rows, words of the lexicon, words that are looked at together, words of these whose copies are examined, values of a text's sketch for that.
+SAMPLE, WORDS, LOOKED, EXAMINED, ALIKE = 8000, 96, 16 * 96, 2 * 96, 64
+LEXICONS, THRESHOLD = 6, 0.7
 #: Lengths of the stems that are tried.
 STEMS = (4, 5, 6)
 #: Plain insults.
@@ -43,7 +44,8 @@ SEEDS = """idiot moron stupid loser scum imbecile bastard asshole bitch fuck fuc
 arschloch dummkopf hurensohn schlampe wichser missgeburt connard connasse salope merde enculé crétin
 idiota imbécil estúpido puta mierda cabrón gilipollas""".split()
 WORD = re.compile(r"[^\W\d_]+")
-DISGUISED = re.compile(r"[^\W\d_]*[013457@$][\w@$]*")
+#: Starts where a run of letters starts, so a long run is read once.
+DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[013457@$][\w@$]*+")
 PLAIN = str.maketrans("013457@$", "oleastas")
 SHOUT = re.compile(r"!!!|\b[A-Z]{4,}(?: [A-Z]{3,}){2}")
 VOTERS = LEXICONS + 5
@@ -110,7 +112,7 @@ def _sample(ws: Workspace, docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             sets = [sorted(set(WORD.findall((x.as_py() or "").lower()))) for x in b.column(1)]
             terms = [sorted({*w, *(f"{x[:k]}*" for x in w for k in STEMS if len(x) > k)}) for w in sets]
-            sketch = [sorted(xxhash.xxh3_64_intdigest(w.encode()) >> 1 for w in s)[:64] for s in sets]
+            sketch = [sorted(xxhash.xxh3_64_intdigest(w.encode()) >> 1 for w in s)[:ALIKE] for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(terms, pa.list_(pa.string())), pa.array(sketch, pa.list_(pa.int64())), b.column(1)], ["toxic", "words", "sketch", "text"])
 
     return ws.save(rows.mapInArrow(words, "toxic int, words array<string>, sketch array<long>, text string"))
@@ -138,7 +140,7 @@ def mine(sample: DataFrame) -> list[str]:
     # All n documents of a word are toxic with chance (bad / all)**n; over all words tried, a tenth of a word may pass by luck.
     sure = F.col("n") * math.log(bad / all_) + math.log(max(tried, 1)) < math.log(0.1)
     good = counts.where((F.col("k") >= max(4, 0.02 * bad)) & sure & (F.col("k") >= 0.95 * F.col("n")))
-    strong = {r.word: r.k for r in good.orderBy(F.desc("k"), "word").limit(16 * WORDS).collect()}
+    strong = {r.word: r.k for r in good.orderBy(F.desc("k"), "word").limit(LOOKED).collect()}
     # A stem is taken for its words if it finds clearly more documents than each of them; of equal ones the longest.
     order = sorted(strong, key=lambda w: (-strong[w], w.endswith("*"), -len(w), w))
     chosen: list[str] = []
@@ -148,7 +150,7 @@ def mine(sample: DataFrame) -> list[str]:
         longer = w.endswith("*") and any(x != w and x.startswith(w[:-1]) and strong[w] <= 1.02 * strong[x] for x in strong)
         if not inside and not around and not longer:
             chosen.append(w)
-    chosen = chosen[: 2 * WORDS]
+    chosen = chosen[:EXAMINED]
     hits = sample.where("toxic = 1").select("sketch", F.array_intersect("words", F.array(*map(F.lit, chosen)).cast("array<string>")).alias("hit")).where(F.size("hit") > 0).collect()
     by: dict[str, list] = {w: [] for w in chosen}
     for r in sorted(hits, key=lambda r: r.sketch):  # near copies are neighbours
@@ -206,13 +208,13 @@ def label_model(histogram: dict[int, int], anchors: dict[tuple[int, int], int],
     return post
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights of a ridge logistic regression on soft labels."""
+def _logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a ridge logistic regression on soft labels of rows that stand `count` times each."""
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (count * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (count * (y - p)) - ridge * w)
         w += np.clip(step, -4, 4)
         if abs(step).max() < 1e-6:
             break
@@ -248,9 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
         found, length, count = [[] for _ in votes], [5.0] * len(votes), [1] * len(votes)
     votes = np.array(votes, np.int64)
     if len(votes):
-        repeat = np.minimum(np.array(count), 50)
-        x = np.repeat(model.matrix(found, votes, np.array(length)), repeat, 0)
-        model.weights = _logistic(x, np.repeat(model.posterior[votes], repeat))
+        model.weights = _logistic(model.matrix(found, votes, np.array(length)), model.posterior[votes], np.array(count, float))
     else:
         model.weights = np.zeros(len(model.words) + VOTERS + 2)
     return model, features
