@@ -2,11 +2,11 @@
 
 A rule is a host and a path prefix. It fits its host and all subdomains, if the url's path starts with the rule's; the
 longest that fits decides. URLs that rules decide are the labelled ones: a bounded sample of them trains the trees on lexical features, and
-all of them give the suffix statistics (share of blocked URLs by hashed host suffix, SUFFIXES cells).
+all of them give the suffix statistics (share of blocked URLs by hashed host suffix, SUFFIXES cells). In training, a row's statistics leave out its own fold of URLs.
 
 Rows: a null url, or one without `://`, has an empty host and path, which no rule fits; the trees decide on what there is. A
 null page_id is returned as such, repeated rows once each. Without labelled URLs the trees allow everything. An empty table gives an empty
-result; extra columns aren't read.
+result; extra columns aren't read, so their names may clash with those of the result. Very long URLs are read whole. Equal URLs get equal verdicts.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-SAMPLE, SUFFIXES, TREES, DEPTH, RATE, BINS = 20_000, 512, 40, 3, 0.2, 32
+SAMPLE, SUFFIXES, TREES, DEPTH, RATE, BINS, FOLDS = 20_000, 512, 40, 3, 0.2, 32, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -138,26 +138,50 @@ def _matrix(urls: list, hosts: list, paths: list, shares: np.ndarray) -> np.ndar
     return np.array(rows) if rows else np.zeros((0, 0))
 
 
+def fold_of(url: str) -> int:
+    return xxhash.xxh3_64_intdigest(url) % FOLDS
+
+
+def shares_of(counts: np.ndarray) -> np.ndarray:
+    """Share of blocked URLs by suffix cell from counts by verdict and cell."""
+    return (counts[1] + 1) / (counts.sum(0) + 2)
+
+
+def _suffix_counts(labelled: DataFrame) -> np.ndarray:
+    """Labelled URLs by fold, verdict (1: block) and suffix cell; over all rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((FOLDS, 2, SUFFIXES), np.int64)
+        for b in batches:
+            for url, host, y in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for cell in suffix_cells(host):
+                    total[fold_of(url), y, cell] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.ravel()[at], pa.int64())], ["cell", "n"])
+
+    out = np.zeros(FOLDS * 2 * SUFFIXES, np.int64)
+    for r in labelled.select("url", "host", "y").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r.cell] = r.n
+    return out.reshape(FOLDS, 2, SUFFIXES)
+
+
+def fit(rows: list, counts: np.ndarray) -> Trees:
+    """Trees for rows of url, host, path, y. A row's suffix shares leave out its own fold, so that its label doesn't leak into them."""
+    without = [shares_of(counts.sum(0) - counts[f]) for f in range(FOLDS)]
+    x = [features(r.url, r.host, r.path, without[fold_of(r.url)]) for r in rows]
+    return grow(np.array(x) if x else np.zeros((0, 0)), np.array([r.y for r in rows], float))
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages."""
     url = F.col("url").cast("string")
     cut = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     ruled = cut.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     labelled = ruled.where("fit is not null").select("url", "host", "path", (F.col("fit.verdict") == "block").cast("int").alias("y"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SUFFIXES), np.int64)
-        for b in batches:
-            for host, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for cell in suffix_cells(host):
-                    total[y, cell] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SUFFIXES), pa.int32()), pa.array(total[0]), pa.array(total[1])], ["cell", "allowed", "blocked"])
-
-    shares = np.full(SUFFIXES, 0.5)
-    for r in labelled.select("host", "y").mapInArrow(count, "cell int, allowed long, blocked long").groupBy("cell").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).collect():
-        shares[r.cell] = (r.b + 1) / (r.a + r.b + 2)
+    counts = _suffix_counts(labelled)
+    shares = shares_of(counts.sum(0))
     rows = labelled.orderBy(F.xxhash64("url"), "url").limit(SAMPLE).collect()  # SAMPLE bounds what reaches the driver
-    trees = grow(_matrix([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], shares), np.array([r.y for r in rows], float))
+    trees = fit(rows, counts)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
