@@ -3,7 +3,7 @@
 Every tree hashes a vector to a string of BITS signs of random projections; a tree is the array of all rows sorted by it. The
 rows that share a prefix with a query are one stretch of that array. A query descends in all trees to its
 longest matches and then ascends in all of them together, one bit at a time, until the stretches hold its
-budget of candidates: SHARE of the rows, FEWEST at least, and more than k in some tree. All candidates are scored exactly.
+budget of candidates: SHARE of the rows and FEWEST, and more than k in some tree. All candidates are scored exactly.
 Hash strings see angles only, while long vectors at wider angles have large inner products, too. So the longest rows, about LONG of all, stand in no
 tree and are candidates of every query; of equal lengths all are taken or none, and none if they are more than MOST_LONG of the rows.
 
@@ -15,7 +15,8 @@ sorted array into runs of about RUN rows; a cell larger than that is dealt to se
 queries, too, in blocks. Queries meet just the runs that their stretches touch. No run, part or block grows with the data.
 
 Vectors that are null, zero, of another length than most or hold null or non-finite components take no part, nor do rows without id; of rows with one
-id, whose vectors may be equal or not, a query counts each id once and never its own. Fewer candidates than k: all of them. Empty tables give an empty result; extra columns aren't read.
+id, whose vectors may be equal or not, a query counts each id once and never its own. Fewer candidates than k: all of them. Ties rank by id. Very long vectors only make rows wider.
+Empty tables give an empty result; extra columns aren't read, so their names may clash with those of the result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .common import Workspace
 
-TREES, BITS, SEED, RUN, QUERIES, SHARE, FEWEST, LONG, MOST_LONG = 48, 12, 7, 4096, 2048, 0.6, 4000, 0.1, 0.3
+TREES, BITS, SEED, RUN, QUERIES, SHARE, FEWEST, LONG, MOST_LONG = 48, 12, 7, 4096, 2048, 0.6, 1000, 0.1, 0.3
 
 
 def _planes(dim: int) -> np.ndarray:
@@ -59,7 +60,7 @@ class Forest:
 
     def __init__(self, counts: np.ndarray, copies: np.ndarray, rows: int, asked_share: float, k: int, longest: int = 0, long_ids: int = 0):
         self.sums = np.concatenate([np.zeros((TREES, 1), np.int64), np.cumsum(counts, 1)], 1)
-        self.budget, self.k = max(FEWEST, int(SHARE * rows)), k
+        self.budget, self.k = FEWEST + int(SHARE * rows), k
         self.run = np.zeros(counts.shape, np.int32)  # of each cell
         parts, held_ids = [], []  # of each run; a run's ids, copies included, tell how often it is asked
         for t in range(TREES):
@@ -142,6 +143,8 @@ def _best(queries: pa.Table, rows: pa.Table, dim: int, k: int) -> pa.Table:
     several = len(names) < len(ids)  # ids with several vectors
     q = _matrix(queries["v"].combine_chunks(), dim)
     asked = queries["id"].to_numpy()
+    # Products of a matrix are off by rounding in proportion to the vectors' lengths.
+    slack = 1e-12 * np.sqrt((x**2).sum(1).max() * (q**2).sum(1))
     low, high = np.searchsorted(cells, queries["low"].to_numpy()), np.searchsorted(cells, queries["high"].to_numpy())
     out: list[list[np.ndarray]] = [[], [], []]
     for first in range(0, len(q), 256):
@@ -158,7 +161,7 @@ def _best(queries: pa.Table, rows: pa.Table, dim: int, k: int) -> pa.Table:
                 best = np.full(len(names), -np.inf)
                 np.maximum.at(best, name[a:b], near)
             least = np.partition(best, -k)[-k] if len(best) > k else -np.inf
-            at = np.flatnonzero(~own & (near >= least - 1e-9 * max(1.0, abs(least))))
+            at = np.flatnonzero(~own & (near >= least - slack[i]))
             # Summed in one order for every row, so that equal vectors tie exactly.
             score = (x[of[a + at]] * q[i]).sum(1)
             ranked = np.lexsort((ids[a + at], -score))
