@@ -78,6 +78,9 @@ dialect("sel_fae_empty", "SELECT o_orderkey FROM orders FOR ALL ENTRIES IN @drv
 dialect("sel_corresponding", "SELECT * FROM part WHERE p_size = 7 INTO CORRESPONDING FIELDS OF TABLE @t", "SELECT p_partkey, p_brand, CAST(NULL AS VARCHAR) AS remark FROM part WHERE p_size = 7", target="struct<p_partkey: bigint, p_brand: string, remark: string>")
 
 
+dialect("expr_cp_escape", "SELECT p_partkey FROM part WHERE p_name CP '*#*+#+*' OR p_name CP 'a_b*' OR p_name CP '*1#_*' OR p_name NP '*a*' INTO TABLE @DATA(r)", "SELECT p_partkey FROM part WHERE regexp_full_match(p_name, '.*[*].[+].*') OR regexp_full_match(p_name, 'a_b.*') OR regexp_full_match(p_name, '.*1_.*') OR NOT contains(p_name, 'a')")
+
+
 # Ordered tables -----------------------------------------------------------------------------------------
 
 
@@ -105,6 +108,15 @@ _EVENTS = "SELECT event_id, user_id, event_type, value FROM events INTO TABLE @D
 _E = "SELECT event_id, user_id, event_type, value, row_number() OVER (ORDER BY event_id) AS i FROM events"
 program("itab_read_key", _SUPPLIERS + "READ TABLE t WITH KEY s_nationkey = 3 INTO DATA(w).", "w", "SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, s_nationkey FROM supplier WHERE s_nationkey = 3 ORDER BY s_suppkey LIMIT 1")
 program("itab_read_index", _SUPPLIERS + "READ TABLE t INDEX 4 INTO DATA(w).", "w", "SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, s_nationkey FROM supplier ORDER BY s_suppkey LIMIT 1 OFFSET 3")
+program("prog_order_by", "SELECT n_nationkey n_name FROM nation ORDER BY n_name DESCENDING INTO TABLE @DATA(t). READ TABLE t INDEX 1 INTO DATA(w).", "w", "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name FROM nation ORDER BY n_name DESC LIMIT 1")
+program("prog_order_ties", "SELECT s_suppkey s_nationkey FROM supplier ORDER BY s_nationkey DESCENDING INTO TABLE @DATA(t).", "t", "SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY s_nationkey DESC, s_suppkey) AS idx FROM supplier", True)
+program("prog_endselect", "DATA: n TYPE i, total TYPE i. SELECT n_nationkey n_regionkey FROM nation INTO @DATA(w). CHECK w-n_regionkey > 1. n = n + 1. total = total + w-n_nationkey. ENDSELECT. DATA: BEGIN OF s, n TYPE i, total TYPE i, END OF s. s-n = n. s-total = total.", "s", "SELECT CAST(count(*) AS INTEGER) AS n, CAST(sum(n_nationkey) AS INTEGER) AS total FROM nation WHERE n_regionkey > 1")
+program("prog_last_row", "DATA q TYPE string. " + _NATIONS + "LOOP AT t INTO DATA(w) WHERE n_regionkey = 2. q = w-n_name. ENDLOOP.", "q", "SELECT max_by(n_name, n_nationkey) AS q FROM nation WHERE n_regionkey = 2")
+program("prog_read_assigning", _NATIONS + "READ TABLE t ASSIGNING FIELD-SYMBOL(<f>) WITH KEY n_nationkey = 5. <f>-n_name = 'changed'.", "t", "SELECT n_nationkey, CASE WHEN n_nationkey = 5 THEN 'changed' ELSE n_name END AS n_name, n_regionkey FROM nation")
+program("prog_appending", _NATIONS + "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1 APPENDING TABLE @t.", "t", "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY k, n_nationkey) AS idx FROM (SELECT *, 1 AS k FROM nation UNION ALL SELECT *, 2 FROM nation WHERE n_regionkey = 1)", True)
+program("prog_is_initial", "DATA: n TYPE i, a TYPE i, b TYPE i. IF n IS INITIAL. a = 1. ENDIF. n = 5. IF n IS INITIAL. b = 1. ENDIF. DATA: BEGIN OF s, a TYPE i, b TYPE i, END OF s. s-a = a. s-b = b.", "s", "SELECT CAST(1 AS INTEGER) AS a, CAST(0 AS INTEGER) AS b")
+program("prog_loop_group_by", _EVENTS + "DATA: BEGIN OF g1, kind TYPE string, n TYPE i, END OF g1. DATA r LIKE STANDARD TABLE OF g1. LOOP AT t INTO DATA(w) GROUP BY ( kind = w-event_type n = GROUP SIZE ) INTO DATA(g). APPEND VALUE #( kind = g-kind n = g-n ) TO r. ENDLOOP.", "r", "SELECT event_type AS kind, CAST(count(*) AS INTEGER) AS n, row_number() OVER (ORDER BY min(event_id)) AS idx FROM events GROUP BY event_type", True)
+program("prog_loop_at_group", _EVENTS + "DATA: BEGIN OF g1, kind TYPE string, id TYPE int8, END OF g1. DATA r LIKE STANDARD TABLE OF g1. LOOP AT t INTO DATA(w) WHERE user_id < 50 GROUP BY ( kind = w-event_type n = GROUP SIZE ) INTO DATA(g). CHECK g-n > 2. LOOP AT GROUP g INTO DATA(m) WHERE value > 10. APPEND VALUE #( kind = g-kind id = m-event_id ) TO r. ENDLOOP. ENDLOOP.", "r", "SELECT kind, id, row_number() OVER (ORDER BY first, id) AS idx FROM (SELECT event_type AS kind, event_id AS id, value, min(event_id) OVER (PARTITION BY event_type) AS first, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE user_id < 50) WHERE n > 2 AND value > 10", True)
 program("itab_delete_where", _EVENTS + "DELETE t WHERE value > 50 AND user_id < 100.", "t", f"SELECT event_id, user_id, event_type, value, row_number() OVER (ORDER BY i) AS idx FROM ({_E}) WHERE NOT coalesce(value > 50 AND user_id < 100, false)", True)
 program("itab_delete_index", _NATIONS + "DELETE t INDEX 3.", "t", "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS idx FROM nation WHERE n_nationkey <> 2", True)
 program("itab_delete_adjacent", _EVENTS + "SORT t BY user_id event_type. DELETE ADJACENT DUPLICATES FROM t COMPARING user_id event_type.", "t", f"SELECT event_id, user_id, event_type, value, row_number() OVER (ORDER BY user_id NULLS FIRST, event_type NULLS FIRST, i) AS idx FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY i) AS k FROM ({_E})) WHERE k = 1", True)

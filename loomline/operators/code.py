@@ -196,7 +196,7 @@ def scopes_at(symbols_: DataFrame, asked: DataFrame) -> DataFrame:
     # A method's body sees its parameters and its class: both scopes stand above it.
     parents = symbols_.select("file_id", "scope_id", F.col("parent_scope_id").alias("parent")).distinct()
     known = mine.select("file_id", "offset", "scope_id", "size")
-    for k in range(1, 4):
+    for k in range(1, 4):  # the grammar nests no deeper: a method's body, its parameters, its class, the file
         up = mine.join(parents, ["file_id", "scope_id"]).where("parent > 0").select("file_id", "offset", F.col("parent").alias("scope_id"), (F.col("size") + k).alias("size"))
         known, mine = known.unionByName(up), up
     global_ = asked.select("file_id", "offset", F.lit(0).alias("scope_id"), F.lit(2_000_000_000).alias("size"))
@@ -226,25 +226,38 @@ def hover_text(found: DataFrame) -> DataFrame:
     return found.withColumn("hover", text)
 
 
+#: The words that completion offers.
 KEYWORDS = (
-    "DATA TYPES CONSTANTS FIELD-SYMBOLS CLASS ENDCLASS METHOD ENDMETHOD METHODS INTERFACE ENDINTERFACE FORM ENDFORM PERFORM REPORT INCLUDE MODULE ENDMODULE IF ELSEIF ELSE "
-    "ENDIF CASE WHEN ENDCASE WHILE ENDWHILE DO ENDDO LOOP ENDLOOP READ TABLE INSERT APPEND DELETE MODIFY SORT CLEAR SELECT ENDSELECT FROM WHERE INTO GROUP BY ORDER HAVING "
-    "CALL FUNCTION MESSAGE CHECK CONDENSE VALUE NEW CONV COND SWITCH REDUCE FILTER CORRESPONDING RETURN EXIT CONTINUE TRY CATCH ENDTRY RAISE WRITE ASSIGN COLLECT"
-).split()
+    "DATA", "TYPES", "CONSTANTS", "FIELD-SYMBOLS", "CONTROLS", "PARAMETERS", "SELECT-OPTIONS", "TABLES", "REPORT", "PROGRAM", "INCLUDE", "FORM", "ENDFORM", "PERFORM",
+    "START-OF-SELECTION", "END-OF-SELECTION", "INITIALIZATION", "AT SELECTION-SCREEN", "TOP-OF-PAGE", "END-OF-PAGE", "FUNCTION", "ENDFUNCTION", "METHOD", "ENDMETHOD",
+    "METHODS", "CLASS", "ENDCLASS", "INTERFACE", "ENDINTERFACE", "MODULE", "ENDMODULE", "DEFINITION", "IMPLEMENTATION", "IF", "ELSE", "ELSEIF", "ENDIF", "CASE", "WHEN",
+    "ENDCASE", "DO", "ENDDO", "WHILE", "ENDWHILE", "LOOP", "ENDLOOP", "AT", "ENDAT", "CHECK", "EXIT", "CONTINUE", "RETURN", "SET PF-STATUS", "SET TITLEBAR",
+    "SET CURSOR FIELD", "SET SCREEN", "SELECT", "ENDSELECT", "FROM", "INTO", "WHERE", "ORDER BY", "GROUP BY", "HAVING", "INSERT", "UPDATE", "MODIFY TABLE", "MODIFY SCREEN",
+    "DELETE", "LEAVE PROGRAM", "CONDENSE", "APPEND", "COLLECT", "READ TABLE", "SORT", "CLEAR", "REFRESH", "FREE", "TRY", "CATCH", "CLEANUP", "ENDTRY", "RAISE", "RAISING",
+    "WRITE", "FORMAT", "ULINE", "SKIP", "NEW-LINE", "TYPE", "LIKE", "REF TO", "VALUE", "OPTIONAL", "DEFAULT", "BEGIN OF", "END OF", "STRUCTURE", "USING", "CHANGING",
+    "IMPORTING", "EXPORTING", "RETURNING", "EXCEPTIONS", "PUBLIC SECTION", "PRIVATE SECTION", "PROTECTED SECTION", "ABSTRACT", "FINAL", "STATIC", "READ-ONLY",
+    "REDEFINITION", "INTERFACES", "MOVE", "MOVE-CORRESPONDING", "ASSIGN", "UNASSIGN", "CALL", "CALL SCREEN", "CALL FUNCTION", "CALL METHOD", "ASSERT", "MESSAGE", "NEW",
+    "CREATE OBJECT", "INITIAL", "IS INITIAL", "IS NOT INITIAL", "IS BOUND", "IS ASSIGNED", "AND", "OR", "NOT", "EQ", "NE", "LT", "LE", "GT", "GE", "BETWEEN", "IN", "CO",
+    "CN", "CA", "NA", "CS", "NS", "CP", "NP",
+)
+#: Words of a keyword's spelling, for semantic tokens; the constructors' words are keywords there, too.
+_WORDS = tuple(sorted({w for k in KEYWORDS for w in k.replace("-", " ").split()} | {"CONV", "COND", "SWITCH", "REDUCE", "FILTER", "CORRESPONDING", "TABLE", "MODIFY", "BY"}))
 #: Item kinds of completion by symbol kind.
-ITEMS = {"variable": "Variable", "struct_variable": "Struct", "type": "Class", "struct_type": "Struct", "constant": "Constant", "struct_constant": "Constant", "form": "Function", "method": "Method", "class": "Class", "interface": "Interface", "field": "Field", "parameter": "Variable", "field_symbol": "Variable", "module": "Module", "event": "Event", "include": "File", "report": "File", "control": "Variable"}
+ITEMS = {"variable": "Variable", "struct_variable": "Struct", "type": "Struct", "struct_type": "Struct", "constant": "Constant", "struct_constant": "Constant", "form": "Function", "method": "Method", "class": "Class", "interface": "Interface", "field": "Field", "parameter": "Variable", "field_symbol": "Variable", "module": "Function", "event": "Event", "include": "File", "report": "Module", "control": "Variable"}
 
 
 def completion(symbols_: DataFrame, asked: DataFrame) -> DataFrame:
-    """file_id, offset, label, item: keywords and every symbol that the place sees and that begins with `prefix`."""
+    """file_id, offset, label, item, detail: keywords and every symbol that the place sees and that begins with `prefix`."""
     spark = symbols_.sparkSession
     item = F.create_map(*(x for k, v in ITEMS.items() for x in (F.lit(k), F.lit(v))))
     seen = scopes_at(symbols_, asked.select("file_id", "offset").distinct()).join(current_symbols(symbols_), ["file_id", "scope_id"])
     names = asked.join(seen, ["file_id", "offset"]).where("startswith(name, lower(prefix)) and kind <> 'method_body'")
-    one = names.groupBy("file_id", "offset", F.col("name").alias("label")).agg(F.min_by("kind", "rank").alias("kind"))
+    one = names.groupBy("file_id", "offset", F.col("name").alias("label")).agg(F.min_by(F.struct("kind", "type_name"), "rank").alias("s"))
     words = spark.createDataFrame([(k,) for k in KEYWORDS], "label string")
-    fixed = asked.join(F.broadcast(words), F.expr("startswith(label, upper(prefix))")).select("file_id", "offset", "label", F.lit("Keyword").alias("item"))
-    return one.select("file_id", "offset", "label", F.coalesce(item[F.col("kind")], F.lit("Text")).alias("item")).unionByName(fixed)
+    fixed = asked.join(F.broadcast(words), F.expr("startswith(label, upper(prefix))")).select("file_id", "offset", "label", F.lit("Keyword").alias("item"), F.lit("").alias("detail"))
+    kind, type_ = F.col("s.kind"), F.col("s.type_name")
+    detail = F.when(kind.isin("method", "class", "interface", "form", "report", "include", "event", "module"), F.upper(kind)).when(kind == "control", "CONTROLS").when(kind == "field_symbol", F.rtrim(F.concat(F.lit("FIELD-SYMBOL "), type_))).otherwise(type_)
+    return one.select("file_id", "offset", "label", F.coalesce(item[kind], F.lit("Text")).alias("item"), detail.alias("detail")).unionByName(fixed)
 
 
 def members(symbols_: DataFrame, asked: DataFrame) -> DataFrame:
@@ -266,9 +279,12 @@ def members(symbols_: DataFrame, asked: DataFrame) -> DataFrame:
     return got.where(fits).select("file_id", "name", "access", "label", item[F.col("member")].alias("item"))
 
 
-#: Semantic token types and modifiers, in the order that their numbers follow.
-LEGEND = "namespace type class enum interface struct typeParameter parameter variable property enumMember event function method macro keyword modifier comment string number regexp operator".split()
-MODIFIERS = "declaration definition readonly static deprecated abstract async modification documentation defaultLibrary".split()
+#: Semantic token types and modifiers, in the order that their numbers follow.
+LEGEND = (
+    "namespace", "type", "class", "enum", "interface", "struct", "typeParameter", "parameter", "variable", "property", "enumMember", "event", "function", "method", "macro",
+    "keyword", "modifier", "comment", "string", "number", "regexp", "operator",
+)
+MODIFIERS = ("declaration", "definition", "readonly", "static", "deprecated", "abstract", "async", "modification", "documentation", "defaultLibrary")
 _TYPE_OF = {"variable": "variable", "struct_variable": "variable", "constant": "variable", "struct_constant": "variable", "type": "type", "struct_type": "struct", "class": "class", "interface": "interface", "form": "function", "method": "method", "parameter": "parameter", "field": "property", "field_symbol": "variable", "module": "function", "event": "event", "include": "namespace", "report": "namespace", "control": "variable"}
 
 
@@ -292,18 +308,28 @@ def delta_encoded(placed: DataFrame, key: str = "file_id") -> DataFrame:
 
 
 def semantic_tokens(files: DataFrame) -> DataFrame:
-    """file_id, delta_line, delta_column, length, type, number: tokens that carry meaning, in editor order."""
+    """file_id, delta_line, delta_column, length, type, number, modifiers: tokens that carry meaning, in editor order.
+
+    modifiers is a bit set by place in MODIFIERS: declaration where the symbol's own name stands in its declaration, readonly for constants, static for static members.
+    """
     got = token_positions(tokens(files), files)
-    names = current_symbols(symbols(files)).groupBy("file_id", "name").agg(F.min_by("kind", "scope_id").alias("symbol"))
+    every = symbols(files)
+    names = current_symbols(every).groupBy("file_id", "name").agg(F.min_by(F.struct("kind", "static"), "scope_id").alias("s")).select("file_id", "name", F.col("s.kind").alias("symbol"), F.col("s.static").alias("static"))
+    # A declaration's name is the first token of that name at or after the declaration's start.
+    declared = every.where("kind <> 'method_body'").select("file_id", "name", F.col("start").alias("from"), F.col("end").alias("to"))
+    heads = declared.join(got.select("file_id", F.lower("lit").alias("name"), "start"), ["file_id", "name"]).where(F.col("start").between(F.col("from"), F.col("to")))
+    heads = heads.groupBy("file_id", "name", "from").agg(F.min("start").alias("start")).select("file_id", "start", F.lit(1).alias("declares")).distinct()
     kinds = F.create_map(*(x for k, v in _TYPE_OF.items() for x in (F.lit(k), F.lit(v))))
     joined = got.withColumn("name", F.lower("lit")).join(names, ["file_id", "name"], "left")
     type_ = (
         F.when(F.col("kind") == "Comment", "comment").when(F.col("kind").isin("String", "StringTemplate"), "string").when(F.col("kind") == "Number", "number")
-        .when((F.col("kind") == "Ident") & F.col("symbol").isNotNull(), kinds[F.col("symbol")]).when(F.upper("lit").isin(*KEYWORDS), "keyword")
+        .when((F.col("kind") == "Ident") & F.col("symbol").isNotNull(), kinds[F.col("symbol")]).when(F.upper("lit").isin(*_WORDS), "keyword")
     )
-    known = joined.withColumn("type", type_).where("type is not null")
+    named = F.col("kind") == "Ident"
+    bits = F.coalesce("declares", F.lit(0)) + F.when(named & F.col("symbol").isin("constant", "struct_constant"), 4).otherwise(0) + F.when(named & F.col("static"), 8).otherwise(0)
+    known = joined.join(heads, ["file_id", "start"], "left").withColumn("type", type_).withColumn("modifiers", bits).where("type is not null")
     number = F.create_map(*(x for i, t in enumerate(LEGEND) for x in (F.lit(t), F.lit(i))))
-    return delta_encoded(known).select("file_id", "ord", "line", "column", "delta_line", "delta_column", F.length("lit").alias("length"), "type", number[F.col("type")].alias("number"))
+    return delta_encoded(known).select("file_id", "ord", "line", "column", "delta_line", "delta_column", F.length("lit").alias("length"), "type", number[F.col("type")].alias("number"), "modifiers")
 
 
 def access_chain(text: Column) -> Column:

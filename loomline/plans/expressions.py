@@ -93,6 +93,12 @@ def type_of(node: Node, scope: Scope) -> str:
         return "string" if node["type"] == "string" else "double" if "." in node["value"] else "int"
     if node.kind == "Binary_Expr" and node["op"] in "+-*/":
         return "double"
+    if path and path[0] in scope.variables:
+        value = scope.variables[path[0]]
+        for p in path[1:]:
+            value = value.get(p) if isinstance(value, dict) else None
+        kinds = ((bool, "boolean"), ((int, float, Decimal), "double"), (list, "array"), ((str, type(None)), "string"))
+        return next((kind for of, kind in kinds if isinstance(value, of)), "other")
     return "string"
 
 
@@ -109,9 +115,11 @@ def initial(column: Column, dtype: str) -> Column:
 
 
 def _pattern(text: Column) -> Column:
-    """A LIKE pattern from wildcards * and +, with # as escape."""
-    out = F.regexp_replace(text, r"([\\%_])", r"\\\\$1")
-    return F.translate(out, "*+", "%_")
+    """A LIKE pattern from wildcards * and +; # takes the next character as it is."""
+    out = F.regexp_replace(text, r"([\\%_])", r"\\$1")
+    for mark, plain in (("\x01", "##"), ("\x02", "#*"), ("\x03", "#+")):
+        out = F.replace(out, F.lit(plain), F.lit(mark))
+    return F.translate(F.replace(out, F.lit("#"), F.lit("")), "*+\x01\x02\x03", "%_#*+")
 
 
 def compare(op: str, left: Column, right: Column) -> Column:

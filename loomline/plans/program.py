@@ -2,7 +2,8 @@
 
 Scalars live on the driver as Python values or column expressions; tables are `Itab`s and never leave the cluster. Loop bodies are
 translated when every statement in them is one of: assignment to a component of the loop's field symbol, APPEND or INSERT of an
-expression, CHECK, IF around these, or adding up a scalar. Any other body raises an error that names its place.
+expression, CHECK, IF around these, adding up a scalar, taking a scalar from the row (the last row counts), or LOOP AT GROUP over the groups of the loop
+around it. What a body assigns to a scalar can't be read in the same body. Any other body raises an error that names its place.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.itab import DEFAULTS, IDX, Itab
+from ..operators.itab import DEFAULTS, IDX, Itab, numbered
 from .expressions import BindError, Scope, column, initial, path_of, spark_type
 from .select import Binder, Catalog
 from .syntax import Node, parse
 
 
+#: Tables that exist while a loop runs, and what stands before a group's components in rows of its members.
+SELECTED, GROUPS, MEMBERS, GROUP = "__selected", "__groups", "__members", "__g_"
+
+
 def schema_of(node: Node, types: dict[str, T.DataType | tuple]) -> tuple[T.DataType, dict]:
     """Spark type of a type expression, and what is known of it as a table (kind, keys, unique)."""
     if node.kind == "Table_Type":
@@ -61,6 +66,10 @@ class Program:
     variables: dict = field(default_factory=dict)
     types: dict = field(default_factory=dict)
     written: dict[str, DataFrame] = field(default_factory=dict)
+    #: Field symbols outside loops: the table's name, the row's position and the table as it was then.
+    bound: dict[str, tuple[str, int, Itab]] = field(default_factory=dict)
+    #: Inside LOOP AT GROUP, the name of the group; its components are columns whose names begin with GROUP.
+    group: str = ""
 
     def run(self, text: str) -> "Program":
         tree, errors = parse(text)
@@ -85,9 +94,13 @@ class Program:
         def field_of(path: list[str]):
             if alias is not None and path[0] == alias:
                 path = path[1:]
+                if not path and plain == ["table_line"]:
+                    return F.col("table_line"), kinds["table_line"][1]
                 if not path:
-                    return F.struct(*plain), "struct"
-            elif path == ["sy", "tabix"]:
+                    return F.struct(*(c for c in plain if not c.startswith(GROUP))), "struct"
+            elif self.group and path[0] == self.group:
+                path = [GROUP + (path[1:] or ["table_line"])[0]]
+            elif path == ["sy", "tabix"] and df is not None:
                 path = [IDX]
             elif alias is not None and path[0] in self.variables:
                 return None
@@ -160,6 +173,13 @@ class Program:
             target = [node.one("target")["name"].lower()]
         if target is None:
             raise BindError(node, "can't assign to this")
+        if target[0] in self.bound:
+            name, at, table = self.bound[target[0]]
+            if self.variables.get(name) is not table:
+                raise BindError(node, f"the row of {target[0]} may have moved")
+            component = target[1] if len(target) > 1 else table.columns[0]
+            changed = table.update(F.col(IDX) == at, **{component: column(node.one("value"), self.scope())})
+            self.variables[name], self.bound[target[0]] = changed, (name, at, changed)
         if len(target) > 1:
             self.variables[target[0]] = {**self.variables[target[0]], target[1]: self.value(node.one("value"))}
         else:
@@ -223,14 +243,36 @@ class Program:
             raise BindError(node, "SELECT needs INTO here")
         target = into.one("operand") if into.kind == "Unary_Expr" else into
         name = (target["name"] or "").lower()
-        if node["is_table"]:
+        primary = self.catalog.keys.get(node.one("from")["name"].lower(), [])
+        if node.all("order") and primary and set(primary) <= set(frame.columns):  # the key decides between rows of equal order
+            node.attrs["order_pk"] = True
+            frame = Binder(self.catalog, self.variables).frame(node)
+        ordered = bool(node.all("order") or node["order_pk"])
+
+        def taken(frame: DataFrame, keys: list[str]) -> Itab:
+            if not ordered:
+                return Itab.of(frame, keys)
+            # Ids grow along the order in which the statement has sorted the rows.
+            return Itab(numbered(frame.withColumn("__was", F.monotonically_increasing_id()), [F.col("__was").asc()]).drop("__was"))
+
+        if node.all("body"):
+            rows = taken(frame if len(frame.columns) > 1 else frame.toDF("table_line"), [k for k in primary if k in frame.columns and len(frame.columns) > 1] or (frame.columns if len(frame.columns) > 1 else ["table_line"]))
+            self.variables[SELECTED] = rows
+            last = rows.df.orderBy(F.desc(IDX)).drop(IDX).first()
+            self._spread(node.all("body"), SELECTED, name, False, F.lit(True))
+            del self.variables[SELECTED]
+            if last is not None:
+                self.variables[name] = last.asDict(True) if len(last) > 1 else last[0]
+            self.variables["sy"] = {"subrc": 0 if last is not None else 4}
+        elif node["is_table"]:
             keys = [k for k in self.catalog.keys.get(node.one("from")["name"].lower(), []) if k in frame.columns] or frame.columns
             old = self.variables.get(name)
             if (node["into_kind"] or "").startswith("Corresponding") and isinstance(old, Itab):
                 have = {c.lower(): c for c in frame.columns}
                 frame = frame.select(*((F.col(have[f.name.lower()]) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in old.rows.schema.fields))
                 keys = [k for k in keys if k in frame.columns] or frame.columns
-            self.variables[name] = Itab.of(frame, keys)
+            got = taken(frame, keys)
+            self.variables[name] = old.append(got.df) if node["appending"] and isinstance(old, Itab) else got
         else:
             row = frame.first()
             self.variables[name] = row and (row.asDict(True) if len(row) > 1 else row[0])
@@ -252,7 +294,11 @@ class Program:
         into = node.one("into") or node.one("assigning")
         if into is not None and row is not None:
             values = {k: v for k, v in row.asDict(True).items() if k != IDX}
-            self.variables[(into["name"] or path_of(into)[0]).lower()] = values
+            name = (into["name"] or path_of(into)[0]).lower()
+            self.variables[name] = values
+            self.bound.pop(name, None)
+            if node.one("assigning") is not None:
+                self.bound[name] = (path_of(node.one("table"))[0], row[IDX], table)
 
     def _delete_stmt(self, node: Node) -> None:
         table = self.table(node.one("table"))
@@ -298,6 +344,11 @@ class Program:
         name = path_of(node.one("table"))[0]
         if node["kind"] == "initial":
             out = table.append_initial()
+            if node.one("assigning") is not None:
+                symbol = (node.one("assigning")["name"] or path_of(node.one("assigning"))[0]).lower()
+                row = out.df.orderBy(F.desc(IDX)).first().asDict(True)
+                self.bound[symbol] = (name, row.pop(IDX), out)
+                self.variables[symbol] = row
         elif node["kind"] == "lines":
             out = table.append(self.table(node.one("source")).df)
         else:
@@ -361,8 +412,8 @@ class Program:
 
     # Loops
     def _loop_stmt(self, node: Node) -> None:
-        if node["screen"] or node.all("key") or node["group"]:
-            raise BindError(node, "this loop has no table result; use Itab.groups and Itab.members")
+        if node["screen"] or node["group"]:
+            raise BindError(node, "this loop has no table result")
         name = path_of(node.one("table"))[0]
         table = self.table(node.one("table"))
         target = node.one("assigning") or node.one("into")
@@ -374,7 +425,45 @@ class Program:
             visited = visited if low is None else visited & test(low)
         if node.one("where") is not None:
             visited = visited & column(node.one("where"), self.scope(table.df))
-        self._body(node.all("body"), name, alias, assigning, F.coalesce(visited, F.lit(False)))
+        visited = F.coalesce(visited, F.lit(False))
+        if node.all("key"):
+            self._groups(node, table, alias, visited)
+        else:
+            self._spread(node.all("body"), name, alias, assigning, visited)
+
+    def _groups(self, node: Node, table: Itab, alias: str, visited: Column) -> None:
+        """LOOP AT … GROUP BY: the body runs over the table of groups, in the order of their first rows."""
+        scope = self.scope(table.df, alias)
+        keys = node.all("key")
+        named = {k["name"].lower(): k for k in keys} if keys[0].kind == "Named_Arg" else {"table_line": keys[0]}
+        by = {n: column(k if k.kind != "Named_Arg" else k.one("value"), scope) for n, k in named.items() if not k["counts"]}
+        rows = Itab(table.df.filter(visited))
+        found = rows.groups(**by)
+        groups = Itab(numbered(found, [F.col("first").asc()]))
+        counts = {n: F.col("size") if k["counts"] == "SIZE" else F.col(IDX) for n, k in named.items() if k["counts"]}
+        names = [n["name"] or path_of(n)[0] for n in node.all("into")]
+        target = (names[-1] if len(names) > 1 or not alias else "").lower()
+        self.variables[GROUPS] = Itab(groups.df.select(*by, *(v.alias(n) for n, v in counts.items()), IDX))
+        self.members = (rows, by, target)
+        self._spread(node.all("body"), GROUPS, target, False, F.lit(True))
+        del self.variables[GROUPS]
+
+    def _spread(self, body: list[Node], name: str, alias: str, assigning: bool, test: Column) -> None:
+        """Runs a body over all visited rows at once, if no statement of it reads what another has assigned."""
+        nodes = [x for n in body for x in n.walk()]
+        written = {(path_of(n.one("target")) or [""])[0] for n in nodes if n.kind == "Assign_Stmt"} - {alias, ""}
+        written |= {n.one("target")["name"].lower() for n in nodes if n.kind == "Assign_Stmt" and n.one("target").kind == "Data_Inline_Decl"}
+        for n in nodes:
+            if n.kind in ("If_Stmt", "Check_Stmt", "Elseif_Branch"):
+                read = [n.one("condition")]
+            elif n.kind == "Assign_Stmt":
+                read = [n.one("value").one("right") if self._adds(n) else n.one("value")]
+            else:
+                read = [n.one("source")] if n.kind in ("Append_Stmt", "Insert_Stmt") else []
+            for x in (x for r in read if r is not None for x in r.walk()):
+                if (path_of(x) or [""])[0] in written:
+                    raise BindError(x, "this loop body has an order that can't be spread over a cluster")
+        self._body(body, name, alias, assigning, test)
 
     def _body(self, body: list[Node], name: str, alias: str, assigning: bool, test: Column) -> None:
         for n in body:
@@ -395,6 +484,16 @@ class Program:
                 target = path_of(n.one("target"))[0]
                 got = table.df.filter(test).agg(F.sum(column(n.one("value").one("right"), scope))).first()[0]
                 self.variables[target] = self.variables[target] + (got or 0)
+            elif n.kind == "Assign_Stmt" and (n.one("target").kind == "Data_Inline_Decl" or len(path_of(n.one("target")) or []) == 1):
+                target = (n.one("target")["name"] or path_of(n.one("target"))[0]).lower()
+                last = table.df.filter(test).orderBy(F.desc(IDX)).select(column(n.one("value"), scope).alias("v")).first()
+                if last is not None or target not in self.variables:
+                    self.variables[target] = last and (last.v.asDict(True) if isinstance(last.v, T.Row) else last.v)
+            elif n.kind == "Data_Inline_Decl":
+                last = table.df.filter(test).orderBy(F.desc(IDX)).select(column(n.one("value"), scope).alias("v")).first()
+                self.variables[n["name"].lower()] = last and (last.v.asDict(True) if isinstance(last.v, T.Row) else last.v)
+            elif n.kind == "Loop_Stmt" and n["group"] and name == GROUPS:
+                self._members(n, table, test)
             elif n.kind in ("Append_Stmt", "Insert_Stmt") and n["kind"] in ("row", "itab") and path_of(n.one("table"))[0] != name:
                 other = self.table(n.one("table"))
                 source = n.one("source")
@@ -402,12 +501,35 @@ class Program:
                     rows = table.df.filter(test).select(*(c for c in other.columns if c in table.columns), IDX)
                 else:
                     rows = table.df.filter(test).select(column(source, scope).alias("r"), IDX).select("r.*", IDX)
-                from ..operators.itab import numbered
-
                 self.variables[path_of(n.one("table"))[0]] = other.append(numbered(rows.withColumnRenamed(IDX, "__was"), [F.col("__was").asc()]).drop("__was"))
             else:
                 raise BindError(n, "this loop body has an order that can't be spread over a cluster")
 
+    def _members(self, node: Node, groups: Itab, test: Column) -> None:
+        """LOOP AT GROUP: the members of all visited groups at once, group by group, as rows with their group's components."""
+        rows, by, name = self.members
+        if path_of(node.one("table")) != [name]:
+            raise BindError(node, "no such group")
+        visited = groups.df.filter(test)
+        mine = visited.select(*(F.col(c).alias(GROUP + c) for c in groups.columns), F.col(IDX).alias("__group"))
+        of = rows.df.withColumns({f"__by_{n}": v for n, v in by.items()})
+        on = F.lit(True)
+        for n in by:
+            on = on & of[f"__by_{n}"].eqNullSafe(mine[GROUP + n])
+        joined = of.join(mine, on).drop(*(f"__by_{n}" for n in by)).withColumnRenamed(IDX, "__was")
+        self.variables[MEMBERS] = Itab(numbered(joined, [F.col("__group").asc(), F.col("__was").asc()]).drop("__group", "__was"))
+        target = node.one("into") or node.one("assigning")
+        alias = (target["name"] or path_of(target)[0]).lower()
+        self.group, was = name, self.group
+        try:
+            visited = F.lit(True)
+            if node.one("where") is not None:
+                visited = F.coalesce(column(node.one("where"), self.scope(self.variables[MEMBERS].df, alias)), F.lit(False))
+            self._spread(node.all("body"), MEMBERS, alias, False, visited)
+        finally:
+            self.group = was
+            del self.variables[MEMBERS]
+
     @staticmethod
     def _adds(node: Node) -> bool:
         value = node.one("value")

@@ -165,8 +165,9 @@ def _declare(plain_kind: str, struct_kind: str, **attrs):
             if not p.skip(word):  # structures may also be spelled as one statement for each part
                 raise SyntaxProblem(p.now, "structure is not closed")
             p.op("Colon")
-        if out and not chained:
+        if out and not chained:  # one declaration is its whole statement; in a chain each is what stands between the commas
             out[0].start = first.start
+            p.close(out[-1])
         return out
 
     return rule

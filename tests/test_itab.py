@@ -57,9 +57,17 @@ def test_index_operations(spark):
     assert rows(t.clear()) == []
 
 
-def test_a_loop_that_needs_an_order_is_refused(spark):
+@pytest.mark.parametrize("body", ["x = x * w-k.", "x = w-k. APPEND VALUE #( k = x ) TO r.", "n = n + 1. IF n > 2. x = w-k. ENDIF."])
+def test_a_loop_that_needs_an_order_is_refused(spark, body):
     with pytest.raises(BindError):
-        Program(spark, Catalog(spark), {"t": table(spark, ROWS)}).run("LOOP AT t INTO DATA(w). x = w-k. ENDLOOP.")
+        Program(spark, Catalog(spark), {"t": table(spark, ROWS), "r": table(spark, ROWS), "x": 1, "n": 0}).run(f"LOOP AT t INTO DATA(w). {body} ENDLOOP.")
+
+
+def test_a_moved_row_is_not_written_through_its_field_symbol(spark):
+    state = Program(spark, Catalog(spark), {"t": table(spark, [(1, "a"), (2, "b")])}).run("APPEND INITIAL LINE TO t ASSIGNING FIELD-SYMBOL(<n>). <n>-k = 7. <n>-v = 'z'.")
+    assert rows(state.variables["t"]) == [(1, "a"), (2, "b"), (7, "z")]
+    with pytest.raises(BindError, match="moved"):
+        state.run("SORT t BY k DESCENDING. <n>-k = 8.")
 
 
 @pytest.mark.parametrize("section", ["TABLES t = t", "CHANGING c = x", "EXCEPTIONS e = 1"])
