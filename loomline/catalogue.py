@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import code_queries
 from .functions import text
 from .operators import code
 from .operators.itab import IDX, Itab
 from .plans.program import Program
 from .plans.select import Catalog, select
-from .sources import corpus
 from .streaming import messages
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(code_queries.QUERIES)
+ORACLES: dict[str, str] = dict(code_queries.ORACLES)
 
 
 def query(name: str, oracle: str | None = None):
@@ -259,57 +258,7 @@ def _token_delta(spark, sf_dir):
 
     before = Window.partitionBy("doc_id", "line").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     placed = words.withColumn("column", F.coalesce(F.sum(size + 1).over(before), F.lit(0)).cast("int"))
-    w = Window.partitionBy("doc_id").orderBy("line", "k")
-    same = F.col("line") == F.lag("line").over(w)
-    delta = F.when(same, F.col("column") - F.lag("column").over(w)).otherwise(F.col("column"))
-    return placed.select("doc_id", "line", F.col("column").alias("col"), (F.col("line") - F.coalesce(F.lag("line").over(w), F.lit(0))).alias("delta_line"), delta.alias("delta_column"))
-
-
-# Code analytics over a small corpus ---------------------------------------------------------------------
-
-FIXTURE = {
-    "zmain": "REPORT zmain.\nDATA gv_one TYPE i.\nDATA: gv_two TYPE string, gv_three TYPE p.\nINCLUDE zinc.\nDATA(gv_four) = gv_inc + 1.\ngv_one = gv_four=>bad( ).\n"
-    "FORM run USING p_in TYPE i.\n  DATA lv_local TYPE string.\n  lv_local = |{ p_in }|.\nENDFORM.\n",
-    "zinc": "DATA gv_inc TYPE i.\nTYPES: BEGIN OF ty_line, key TYPE i, name TYPE string, END OF ty_line.\nDATA gs_line TYPE ty_line.\n",
-    "zclass": "CLASS zcl DEFINITION.\n  PUBLIC SECTION.\n    CLASS-METHODS make RETURNING VALUE(r) TYPE REF TO zcl.\n    METHODS run IMPORTING i TYPE i.\n    DATA attr TYPE i READ-ONLY.\n"
-    "  PRIVATE SECTION.\n    DATA hidden TYPE i.\nENDCLASS.\nCLASS zcl IMPLEMENTATION.\n  METHOD make. ENDMETHOD.\n  METHOD run. DATA x TYPE i. x = zcl=>make( ). ENDMETHOD.\nENDCLASS.\nDATA lo TYPE REF TO zcl.\n",
-    "zdup": "TYPES t TYPE i.\nTYPES t TYPE string.\nthis is ( bad.\nINCLUDE zdup.\nINCLUDE znowhere.\n",
-}
-
-
-def fixture(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i + 1, n, t) for i, (n, t) in enumerate(sorted(FIXTURE.items()))], "file_id long, name string, content string")
-
-
-def _asked(spark: SparkSession, file: str, marker: str, **more) -> DataFrame:
-    """One asked place: where the marker stands in a fixture file."""
-    names = sorted(FIXTURE)
-    row = (names.index(file) + 1, len(FIXTURE[file][: FIXTURE[file].index(marker)].encode()), *more.values())
-    return spark.createDataFrame([row], "file_id long, offset int" + "".join(f", {k} string" for k in more))
-
-
-query("code_tokens")(lambda spark, sf_dir: code.tokens(fixture(spark)))
-query("code_nodes")(lambda spark, sf_dir: code.nodes(fixture(spark)))
-query("code_symbols")(lambda spark, sf_dir: code.symbols(fixture(spark)))
-query("code_dup_symbols")(lambda spark, sf_dir: code.duplicate_symbols(code.symbols(fixture(spark))))
-query("code_include_visible")(lambda spark, sf_dir: code.visible_at(code.project_symbols(fixture(spark)), 4, [FIXTURE["zmain"].index("DATA(gv_four")]))
-query("code_static_access")(lambda spark, sf_dir: code.project_diagnostics(fixture(spark)).where("phase <> 'syntax'"))
-query("code_missing_includes")(lambda spark, sf_dir: code.missing_includes(fixture(spark)))
-query("ide_node_at")(lambda spark, sf_dir: code.node_at(code.nodes(fixture(spark)), _asked(spark, "zmain", "p_in }")))
-query("ide_enclosing")(lambda spark, sf_dir: code.enclosing(code.nodes(fixture(spark)), _asked(spark, "zmain", "p_in }")))
-query("ide_hover")(lambda spark, sf_dir: code.hover_text(code.lookup(code.symbols(fixture(spark)), _asked(spark, "zmain", "p_in }", name="P_IN"))))
-query("ide_completion")(lambda spark, sf_dir: code.completion(code.symbols(fixture(spark)), _asked(spark, "zmain", "p_in }", prefix="l")))
-query("ide_members")(lambda spark, sf_dir: code.members(code.symbols(fixture(spark)), spark.createDataFrame([(1, "zcl", "=>"), (1, "lo", "->"), (3, "gs_line", "-")], "file_id long, name string, access string")))
-query("ide_semantic_tokens")(lambda spark, sf_dir: code.semantic_tokens(fixture(spark)))
-
-
-@query("code_index")
-def _index(spark, sf_dir):
-    base = "/x/Package/%2FNS%2FPKG/Source Code Library/"
-    names = ["Includes/%2FNS%2FINC.abap", "Programs/ZREP/ZREP.abap", "Programs/ZREP/Includes/ZREP_TOP.abap", "Function Groups/ZFG/ZFG.abap", "Function Groups/ZFG/Function Modules/Z_DO.abap"]
-    raw = spark.createDataFrame([(base + n, b"REPORT x.") for n in names], "path string, content binary")
-    objects, edges, _ = corpus.index(corpus.files_of(raw))
-    return objects.select("id", "name", "kind").unionByName(edges.select(F.col("child_id").alias("id"), F.col("parent_id").cast("string").alias("name"), F.lit("edge").alias("kind")))
+    return code.delta_encoded(placed, "doc_id").select("doc_id", "line", F.col("column").alias("col"), "delta_line", "delta_column")
 
 
 # Streams ------------------------------------------------------------------------------------------------
@@ -318,15 +267,18 @@ def _index(spark, sf_dir):
 @query("stream_latest_doc", "SELECT source AS uri, max(doc_id) AS version, arg_max(n_chars, doc_id) AS n FROM documents GROUP BY source")
 def _stream_latest(spark, sf_dir):
     stream = messages.read_table(spark, sf_dir, "documents").select(F.col("source").alias("uri"), F.col("doc_id").alias("version"), F.col("n_chars").alias("n"))
-    return messages.run_to_end(messages.latest(stream, text="n"), f"latest_{int(datetime.now().timestamp() * 1e6)}")
+    return messages.run_to_end(messages.latest(stream, text="n"), "latest")
 
 
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _tumbling(spark, sf_dir):
-    out = messages.run_to_end(messages.tumbling(messages.read_table(spark, sf_dir, "events")), f"tumbling_{int(datetime.now().timestamp() * 1e6)}")
+    out = messages.run_to_end(messages.tumbling(messages.read_table(spark, sf_dir, "events")), "tumbling")
     return out.withColumns({"total": F.round("total", 4), "start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
-@query("stream_sessions")
+@query("stream_sessions", """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS n, round(sum(value), 4) AS total FROM (
+SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
+SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS starts FROM events)) GROUP BY user_id, session""")
 def _sessions(spark, sf_dir):
-    return messages.sessions(_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    out = messages.run_to_end(messages.sessions(messages.read_table(spark, sf_dir, "events")), "sessions")
+    return out.withColumns({"total": F.round("total", 4), "start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})

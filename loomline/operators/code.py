@@ -148,6 +148,12 @@ def visible_at(project: DataFrame, root_id: int, position: list[int]) -> DataFra
     return before.groupBy("name").agg(F.max_by(F.struct("file_id", "kind", "type", "type_name", "start"), "position").alias("s")).select("name", "s.*")
 
 
+def visible(project: DataFrame, asked: DataFrame) -> DataFrame:
+    """visible_at() for a table of places: root_id, place (an array, the place's position)."""
+    before = project.join(asked, "root_id").where(F.col("position") < F.col("place"))
+    return before.groupBy("root_id", "place", "name").agg(F.max_by(F.struct("file_id", "kind", "type", "type_name", "start"), "position").alias("s")).select("root_id", "place", "name", "s.*")
+
+
 def merge_symbols(target: DataFrame, source: DataFrame) -> DataFrame:
     """Both tables' symbols; of a name in both, the target's."""
     return target.unionByName(source.join(target.select("name").distinct(), "name", "left_anti").select(*target.columns))

@@ -17,17 +17,22 @@ IDX = "__idx"
 DEFAULTS = {"string": "", "int": 0, "bigint": 0, "smallint": 0, "tinyint": 0, "double": 0.0, "float": 0.0, "boolean": False}
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir; a local session without one gets its own."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if folder:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(folder)
-    elif sc.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local session without one gets its own, once."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-"))
+        folder = tempfile.mkdtemp(prefix="loomline-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.itab import shared_folder
+
 MESSAGE = "jsonrpc STRING, id STRING, method STRING, params STRING"
 OPENED = "textDocument STRUCT<uri: STRING, version: BIGINT, text: STRING>, contentChanges ARRAY<STRUCT<text: STRING>>, position STRUCT<line: INT, character: INT>"
 REQUESTS = ("initialize", "shutdown", "textDocument/hover", "textDocument/completion", "textDocument/semanticTokens/full", "textDocument/diagnostic")
@@ -60,13 +63,23 @@ def latest(versions: DataFrame, key: str = "uri", version: str = "version", text
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """All that is available now goes through the stream; the result as a table in memory (for results that fit the driver)."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that is available now goes through the stream; its last result as a Parquet table in the folder that all executors share.
+
+    A batch that is run again overwrites its own folder only, so a lost executor or driver leaves no rows twice.
+    """
+    if mode != "complete":
+        raise ValueError("only complete mode gives the whole result with each batch")
+    folder, last = f"{shared_folder(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}", []
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/{batch}")
+        last[:] = [batch]
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).trigger(availableNow=True)
+    writer = writer.option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
+    writer.start().awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(f"{folder}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
 
 
 def run_to_table(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:

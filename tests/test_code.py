@@ -4,21 +4,28 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomline import catalogue
 from loomline.functions import text
 from loomline.operators import code
 from loomline.sources import corpus
 from loomline.streaming import messages
 
+from .small_corpus import FIXTURE, fixture
+
+
+def asked(spark, file, marker, **more):
+    """One asked place: where the marker stands in a fixture file."""
+    row = (sorted(FIXTURE).index(file) + 1, len(FIXTURE[file][: FIXTURE[file].index(marker)].encode()), *more.values())
+    return spark.createDataFrame([row], "file_id long, offset int" + "".join(f", {k} string" for k in more))
+
 
 def test_visible_before_the_place_only(spark):
-    got = {r.name for r in catalogue.QUERIES["code_include_visible"](spark, "").collect()}
+    got = {r.name for r in code.visible_at(code.project_symbols(fixture(spark)), 4, [FIXTURE["zmain"].index("DATA(gv_four")]).collect()}
     assert {"gv_one", "gv_two", "gv_three", "gv_inc", "ty_line", "gs_line"} <= got
     assert not {"gv_four", "run"} & got
 
 
 def test_problems(spark):
-    got = {(r.file_id, r.message) for r in code.project_diagnostics(catalogue.fixture(spark)).where("phase <> 'syntax'").collect()}
+    got = {(r.file_id, r.message) for r in code.project_diagnostics(fixture(spark)).where("phase <> 'syntax'").collect()}
     assert got == {
         (2, "Duplicate symbol 't'"),
         (2, "include 'znowhere' not found"),
@@ -27,17 +34,17 @@ def test_problems(spark):
 
 
 def test_members_by_access(spark):
-    got = {(r.name, r.label) for r in catalogue.QUERIES["ide_members"](spark, "").collect()}
+    got = {(r.name, r.label) for r in code.members(code.symbols(fixture(spark)), spark.createDataFrame([(1, "zcl", "=>"), (1, "lo", "->"), (3, "gs_line", "-")], "file_id long, name string, access string")).collect()}
     assert got == {("zcl", "make"), ("lo", "make"), ("lo", "run"), ("lo", "attr"), ("gs_line", "key"), ("gs_line", "name")}
 
 
 def test_hover_and_node(spark):
-    assert catalogue.QUERIES["ide_hover"](spark, "").first().hover == "(parameter) p_in TYPE i"
-    assert {r.kind for r in catalogue.QUERIES["ide_enclosing"](spark, "").collect()} == {"Form_Decl"}
+    assert code.hover_text(code.lookup(code.symbols(fixture(spark)), asked(spark, "zmain", "p_in }", name="P_IN"))).first().hover == "(parameter) p_in TYPE i"
+    assert {r.kind for r in code.enclosing(code.nodes(fixture(spark)), asked(spark, "zmain", "p_in }")).collect()} == {"Form_Decl"}
 
 
 def test_semantic_tokens_decode_to_places(spark):
-    rows = code.semantic_tokens(catalogue.fixture(spark)).orderBy("file_id", "line", "column").collect()
+    rows = code.semantic_tokens(fixture(spark)).orderBy("file_id", "line", "column").collect()
     at = {}
     for r in rows:
         line, column = at.get(r.file_id, (0, 0))
