@@ -12,6 +12,7 @@ from . import code_queries
 from .functions import text
 from .operators import code
 from .operators.itab import IDX, Itab
+from .plans.prepared import as_text, execute, real, whole
 from .plans.program import Program
 from .plans.select import Catalog, select
 from .streaming import messages
@@ -110,6 +111,7 @@ program("itab_read_index", _SUPPLIERS + "READ TABLE t INDEX 4 INTO DATA(w).", "w
 program("prog_order_by", "SELECT n_nationkey n_name FROM nation ORDER BY n_name DESCENDING INTO TABLE @DATA(t). READ TABLE t INDEX 1 INTO DATA(w).", "w", "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name FROM nation ORDER BY n_name DESC LIMIT 1")
 program("prog_order_ties", "SELECT s_suppkey s_nationkey FROM supplier ORDER BY s_nationkey DESCENDING INTO TABLE @DATA(t).", "t", "SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY s_nationkey DESC, s_suppkey) AS idx FROM supplier", True)
 program("prog_endselect", "DATA: n TYPE i, total TYPE i. SELECT n_nationkey n_regionkey FROM nation INTO @DATA(w). CHECK w-n_regionkey > 1. n = n + 1. total = total + w-n_nationkey. ENDSELECT. DATA: BEGIN OF s, n TYPE i, total TYPE i, END OF s. s-n = n. s-total = total.", "s", "SELECT CAST(count(*) AS INTEGER) AS n, CAST(sum(n_nationkey) AS INTEGER) AS total FROM nation WHERE n_regionkey > 1")
+program("prog_corresponding", _NATIONS + "TYPES: BEGIN OF s, n_name TYPE string, extra TYPE i, n_nationkey TYPE int8, END OF s, tt TYPE STANDARD TABLE OF s WITH EMPTY KEY. DATA(u) = CORRESPONDING tt( t ).", "u", "SELECT n_name, CAST(0 AS INTEGER) AS extra, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation")
 program("prog_last_row", "DATA q TYPE string. " + _NATIONS + "LOOP AT t INTO DATA(w) WHERE n_regionkey = 2. q = w-n_name. ENDLOOP.", "q", "SELECT max_by(n_name, n_nationkey) AS q FROM nation WHERE n_regionkey = 2")
 program("prog_read_assigning", _NATIONS + "READ TABLE t ASSIGNING FIELD-SYMBOL(<f>) WITH KEY n_nationkey = 5. <f>-n_name = 'changed'.", "t", "SELECT n_nationkey, CASE WHEN n_nationkey = 5 THEN 'changed' ELSE n_name END AS n_name, n_regionkey FROM nation")
 program("prog_appending", _NATIONS + "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1 APPENDING TABLE @t.", "t", "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY k, n_nationkey) AS idx FROM (SELECT *, 1 AS k FROM nation UNION ALL SELECT *, 2 FROM nation WHERE n_regionkey = 1)", True)
@@ -225,6 +227,56 @@ def _filename(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", text.filename_of("url").alias("name"), text.folder_of("url").alias("folder"))
 
 
+_HOST = r"(?:[A-Za-z0-9_.~!$&'()*+,;=:<>\"\[\]-]|[^\x00-\x7F]|%25|%[89A-Fa-f][0-9A-Fa-f])*"
+
+
+@query("txt_unescape_host", f"""SELECT page_id, CASE WHEN regexp_full_match(h, '{_HOST.replace(chr(39), chr(39) * 2)}') THEN url_decode(h) END AS host, CASE WHEN page_id % 3 <> 1 THEN replace(h, '%25', '%') END AS zone
+    FROM (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) || CASE page_id % 3 WHEN 0 THEN '%25' WHEN 1 THEN '%2F' ELSE '<1>' END AS h FROM pages)""")
+def _unescape_host(spark, sf_dir):
+    ends = F.when(F.col("page_id") % 3 == 0, "%25").when(F.col("page_id") % 3 == 1, "%2F").otherwise("<1>")
+    host = F.concat(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)), ends)
+    return _table(spark, sf_dir, "pages").select("page_id", text.unescape(host, "host").alias("host"), text.unescape(host, "zone").alias("zone"))
+
+
+@query("txt_escape_modes", """SELECT page_id, url_encode(s) AS component, replace(replace(url_encode(s), '%20', '+'), '%7E', '~') AS query,
+    replace(replace(replace(replace(replace(url_encode(s), '%24', '$'), '%26', '&'), '%2B', '+'), '%2C', ','), '%3B', ';') AS part,
+    s AS back_path, s AS back_user, s AS back_fragment, s AS back_query FROM (SELECT page_id, url || ' a~b$&+,;%é' AS s FROM pages)""")
+def _escape_modes(spark, sf_dir):
+    """The user part keeps = as well, which DuckDB's function has no switch for, so it is escaped again."""
+    s = F.concat("url", F.lit(" a~b$&+,;%é"))
+    back = [text.unescape(text.escape(s, m), m).alias(f"back_{m}") for m in ("path", "user", "fragment", "query")]
+    part = F.replace(text.escape(s, "user"), F.lit("="), F.lit("%3D"))
+    return _table(spark, sf_dir, "pages").select("page_id", text.component_escape(s).alias("component"), text.escape(s, "query").alias("query"), part.alias("part"), *back)
+
+
+@query("txt_range_positions", "SELECT doc_id, CAST(0 AS INTEGER) AS l1, CAST(0 AS INTEGER) AS c1, CAST(len(l) - 1 AS INTEGER) AS l2, CAST(strlen(l[-1]) AS INTEGER) AS c2 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def _range_positions(spark, sf_dir):
+    both = text.range_to_positions(F.col("text"), F.lit(0), F.octet_length("text")).alias("r")
+    found = _table(spark, sf_dir, "documents").select("doc_id", both)
+    return found.select("doc_id", F.col("r.start.line").alias("l1"), F.col("r.start.character").alias("c1"), F.col("r.end.line").alias("l2"), F.col("r.end.character").alias("c2"))
+
+
+@query("txt_hex_digits", "SELECT n_nationkey, CASE WHEN n_nationkey < 16 THEN upper(printf('%x', n_nationkey)) END AS digit, CAST(CASE WHEN n_nationkey < 16 THEN n_nationkey END AS INTEGER) AS value FROM nation")
+def _hex_digits(spark, sf_dir):
+    digit = text.hex_digit("n_nationkey")
+    return _table(spark, sf_dir, "nation").select("n_nationkey", digit.alias("digit"), text.hex_value(digit).alias("value"))
+
+
+# Prepared statements ------------------------------------------------------------------------------------
+
+
+@query("sql_prepared", "SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS most FROM orders WHERE o_totalprice > 1234.5 AND o_orderpriority <> 'it''s; --' AND o_custkey >= 10 GROUP BY o_orderstatus")
+def _sql_prepared(spark, sf_dir):
+    statement = "SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS most FROM orders WHERE o_totalprice > ? AND o_orderpriority <> ? AND o_custkey >= ? AND ? IS NULL GROUP BY o_orderstatus"
+    return execute(Catalog.of_folder(spark, sf_dir), statement, 1234.5, "it's; --", 10, b"")
+
+
+@query("sql_text_rows", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, lower(hex(encode(n_name))) AS raw, '' AS nothing, CAST(n_nationkey AS BIGINT) AS whole, CAST(n_nationkey AS DOUBLE) AS real, CAST(NULL AS BIGINT) AS bad FROM nation")
+def _sql_text_rows(spark, sf_dir):
+    rows = as_text(execute(Catalog.of_folder(spark, sf_dir), "SELECT n_nationkey, n_name, encode(n_name, 'UTF-8') AS raw, CAST(NULL AS INT) AS nothing FROM nation"))
+    return rows.select("*", whole(rows["n_nationkey"]).alias("whole"), real(rows["n_nationkey"]).alias("real"), whole(rows["n_name"]).alias("bad"))
+
+
 _LINES = "SELECT doc_id, i - 1 AS line, lines[i] AS body, lines FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))"
 
 

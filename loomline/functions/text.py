@@ -41,14 +41,53 @@ def component_escape(c: Column | str) -> Column:
     return F.replace(query_escape(c), F.lit("+"), F.lit("%20"))
 
 
-def segment_escape(c: Column | str) -> Column:
-    """A path segment: $ & + = : @ stay as they are."""
+#: What stays as it is in each part of a URL, besides letters, digits and - _ . ~ (RFC 3986).
+KEPT = {
+    "path": "$&+,/:;=@",
+    "segment": "$&+=:@",
+    "host": "!$&'()*+,;=:[]<>\"",
+    "zone": "!$&'()*+,;=:[]<>\"",
+    "user": "$&+,;=",
+    "query": "",
+    "fragment": "$&+,/:;=?@!()*",
+}
+
+
+def escape(c: Column | str, part: str) -> Column:
+    """Upper-hex escaping for one part of a URL (a key of KEPT). Only `query` writes a space as `+`."""
+    if part == "query":
+        return query_escape(c)
     out = component_escape(c)
-    for ch, code in (("$", "%24"), ("&", "%26"), ("+", "%2B"), ("=", "%3D"), (":", "%3A"), ("@", "%40")):
-        out = F.replace(out, F.lit(code), F.lit(ch))
+    for ch in KEPT[part]:  # a percent sign in the text is %25 by now, so each code stands for its character only
+        out = F.replace(out, F.lit(f"%{ord(ch):02X}"), F.lit(ch))
     return out
 
 
+def unescape(c: Column | str, part: str) -> Column:
+    """Strict decoding of one part of a URL; null for a bad escape.
+
+    A host takes escapes of bytes from 128 on and %25 only; a zone those of a space, of %25 and of what may stand in it
+    unescaped. Both give null for other ASCII characters that should have been escaped.
+    """
+    if part not in KEPT:
+        raise ValueError(f"no part of a URL: {part}")
+    if part == "query":
+        return query_unescape(c)
+    out = path_unescape(c)
+    if part in ("host", "zone"):
+        plain = r"A-Za-z0-9\-_.~" + "".join("\\" + ch for ch in KEPT[part])
+        codes = "[89A-Fa-f][0-9A-Fa-f]|25"
+        if part == "zone":
+            codes = "25|20|2[DE]|3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9AE]|" + "|".join(f"{ord(ch):02X}" for ch in KEPT[part])
+        out = F.when(_col(c).rlike(rf"\A(?:[{plain}]|[^\x00-\x7F]|%(?i:{codes}))*\z"), out)
+    return out
+
+
+def segment_escape(c: Column | str) -> Column:
+    """A path segment: $ & + = : @ stay as they are."""
+    return escape(c, "segment")
+
+
 def path_encode(c: Column | str) -> Column:
     """A whole path: as a component, but slashes stay."""
     return F.replace(component_escape(c), F.lit("%2F"), F.lit("/"))
@@ -77,6 +116,11 @@ def hex_value(c: Column | str) -> Column:
     return F.when(_col(c).rlike("^[0-9A-Fa-f]$"), F.conv(_col(c), 16, 10).cast("int"))
 
 
+def hex_digit(c: Column | str) -> Column:
+    """The upper-case hexadecimal digit of 0 to 15; null for anything else."""
+    return F.when(_col(c).between(0, 15), F.hex(_col(c)))
+
+
 def condense(c: Column | str, no_gaps: bool = False) -> Column:
     """Outer spaces go and inner runs become one space, or none with no_gaps."""
     return F.replace(_col(c), F.lit(" "), F.lit("")) if no_gaps else F.trim(F.regexp_replace(_col(c), " +", " "))
@@ -108,3 +152,9 @@ def offset_to_position(text: Column, offset: Column) -> tuple[Column, Column]:
     plain = F.decode(head, "ISO-8859-1")
     lines = F.split(plain, "\n", -1)
     return (F.size(lines) - 1).cast("int"), F.length(F.element_at(lines, -1)).cast("int")
+
+
+def range_to_positions(text: Column, start: Column, end: Column) -> Column:
+    """Line and byte column of both ends of a byte range, as a struct of start and end."""
+    ends = (F.struct(line.alias("line"), col.alias("character")) for line, col in (offset_to_position(text, start), offset_to_position(text, end)))
+    return F.struct(*(x.alias(name) for name, x in zip(("start", "end"), ends)))

@@ -197,6 +197,9 @@ class Program:
         if node.kind == "Constructor_Expr" and node["word"] == "REDUCE" and self._names_table(node):
             self.variables[name] = self._reduce(node)
             return
+        if node.kind == "Constructor_Expr" and node["word"] == "CORRESPONDING":
+            self.variables[name] = self._corresponding(node, self.variables.get(name))
+            return
         value = self.value(node)
         old = self.variables.get(name)
         if isinstance(old, Itab) and isinstance(value, list):
@@ -224,6 +227,30 @@ class Program:
         out = Itab(df).renumber()
         return replace(old, df=out.df) if isinstance(old, Itab) and old.columns == out.columns else out
 
+    def _corresponding(self, node: Node, old):
+        """CORRESPONDING type( source ): the components of the type by name, initial where the source has none. `#` takes the target's type."""
+        args, word = node.all("arg"), (node.one("type")["name"] or "#").lower() if node.one("type") else "#"
+        path = path_of(args[0]) if len(args) == 1 else None
+        source = self.variables.get(path[0]) if path else None
+        if not isinstance(source, (Itab, dict)):
+            raise BindError(node, "CORRESPONDING needs one table or structure")
+        kind, how = self.types.get(word, (None, {}))
+        if kind is None and word != "#":
+            raise BindError(node, f"unknown type {word}")
+        if isinstance(source, dict):
+            into = {f.name: DEFAULTS.get(f.dataType.simpleString()) for f in kind.fields} if isinstance(kind, T.StructType) else old if isinstance(old, dict) else source
+            return {n: source.get(n, into[n]) for n in into}
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            line = kind.elementType
+        elif kind is None:
+            line = (old if isinstance(old, Itab) else source).rows.schema
+        else:
+            raise BindError(node, "a table needs a table type with components")
+        have = {c.lower(): c for c in source.columns}
+        into = [(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(DEFAULTS.get(f.dataType.simpleString()))).cast(f.dataType).alias(f.name) for f in line.fields]
+        moved = source.df.select(*into, IDX)
+        return replace(old, df=moved) if isinstance(old, Itab) else Itab(moved, **how)
+
     def _reduce(self, node: Node):
         """REDUCE that adds to its start: a sum over the table."""
         table, name = self.table(node.one("table")), node["name"].lower()
