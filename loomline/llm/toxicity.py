@@ -40,9 +40,11 @@ LEXICONS, THRESHOLD = 6, 0.7
 #: Lengths of the stems that are tried.
 STEMS = (4, 5, 6)
 #: Plain insults.
-SEEDS = """idiot moron stupid loser scum imbecile bastard asshole bitch fuck fucking fucker shit cunt whore slut retard dickhead
-arschloch dummkopf hurensohn schlampe wichser missgeburt connard connasse salope merde enculé crétin
-idiota imbécil estúpido puta mierda cabrón gilipollas""".split()
+SEEDS = (
+    "idiot", "moron", "stupid", "loser", "scum", "imbecile", "bastard", "asshole", "bitch", "fuck", "fucking", "fucker", "shit", "cunt", "whore", "slut", "retard", "dickhead",
+    "arschloch", "dummkopf", "hurensohn", "schlampe", "wichser", "missgeburt", "connard", "connasse", "salope", "merde", "enculé", "crétin",
+    "idiota", "imbécil", "estúpido", "puta", "mierda", "cabrón", "gilipollas",
+)
 WORD = re.compile(r"[^\W\d_]+")
 #: Starts where a run of letters starts, so a long run is read once.
 DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[013457@$][\w@$]*+")
