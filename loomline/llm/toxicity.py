@@ -69,15 +69,18 @@ class Model:
         """The lexicon words of a whole text, its pattern of votes and the logarithm of its length in words."""
         tokens = WORD.findall(text.lower())
         seen = set(tokens)
-        found = {self.at[w] for w in seen & self.at.keys()}
+        hits = seen & self.at.keys()
+        found = {self.at[w] for w in hits}
         for k, at in self.stems:
-            found.update(at[w] for w in {w[:k] for w in seen} & at.keys())
+            if starts := {w[:k] for w in seen} & at.keys():
+                found.update(at[w] for w in starts)
+                hits |= {w for w in seen if w[:k] in starts}
         seeds = len(seen & self.seeds)
         hidden = {w for x in DISGUISED.findall(text) if (w := x.lower().translate(PLAIN)) in self.at or w in self.seeds}
         votes = 0
         for i in found:
             votes |= 1 << (i % LEXICONS)
-        marked = len(found) or seeds
+        marked = len(hits)  # words of one stem are several
         fired = (seeds > 0, marked >= 2, marked * 50 >= len(tokens) > 0, len(hidden) > 0, SHOUT.search(text) is not None)
         for k, x in enumerate(fired):
             votes |= x << (LEXICONS + k)

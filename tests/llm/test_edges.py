@@ -355,6 +355,9 @@ def test_long_runs_of_letters_take_no_time():
         model.look(text)
     assert time.perf_counter() - start < 5
     assert model.look("x z0rgl3 y")[1] >> toxicity.LEXICONS + 3 & 1 and not model.look("x zorgle y")[1] >> toxicity.LEXICONS + 3 & 1
+    several = toxicity.LEXICONS + 1
+    assert model.look("x vexuar vexuel y")[1] >> several & 1 and model.look("zorgle vexuar")[1] >> several & 1
+    assert not model.look("vexuar x vexuar")[1] >> several & 1 and model.look("vexuar vexuel")[0] == model.look("vexuar")[0]
 
 
 @settings(max_examples=300, deadline=None)
