@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sources.corpus import spread
+
 _PARTS = re.compile(r"\[\[([\w-]+)\||(\]\])|\{([^{}]+)\}")
 
 
@@ -56,7 +58,7 @@ class Sheet:
     def files(self, table: DataFrame) -> DataFrame:
         """file_id, name, content: a row for each row of the table."""
         parts = [F.expr(f"CAST({p} AS STRING)") if sql else F.lit(p) for sql, p in self.pieces]
-        return table.select(F.expr(f"CAST({self.file_id} AS BIGINT)").alias("file_id"), F.expr(f"CAST({self.name} AS STRING)").alias("name"), F.concat(*parts).alias("content"))
+        return spread(table).select(F.expr(f"CAST({self.file_id} AS BIGINT)").alias("file_id"), F.expr(f"CAST({self.name} AS STRING)").alias("name"), F.concat(*parts).alias("content"))
 
     def start(self, mark: str) -> str:
         """SQL for where the first part of this name starts."""

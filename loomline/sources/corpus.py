@@ -27,6 +27,12 @@ def read_folder(spark: SparkSession, folder: str, recursive: bool = False) -> Da
     return files_of(found.select("path", "content"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt out to all of them: reading a file as a program costs far more than moving it. Larger scans aren't moved."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def files_of(raw: DataFrame) -> DataFrame:
     """FILES rows from path and content."""
     base = F.substring_index("path", "/", -1)

@@ -101,3 +101,10 @@ def test_message_gate(spark):
     rows = [(i, f'{{"jsonrpc":"2.0","id":"{i}","method":"{m}","params":"{{}}"}}') for i, m in enumerate(["textDocument/hover", "initialize", "textDocument/hover", "shutdown", "textDocument/hover"])]
     got = messages.answered(messages.parsed(spark.createDataFrame(rows, "seq long, body string")))
     assert [r.seq for r in got.orderBy("seq").collect()] == [1, 2]
+
+
+def test_few_splits_are_dealt_to_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    one, many = spark.range(100).coalesce(1), spark.range(100).repartition(cores + 3)
+    assert corpus.spread(one).rdd.getNumPartitions() == cores and corpus.spread(one).count() == 100
+    assert corpus.spread(many) is many
