@@ -31,16 +31,24 @@ Template = Callable[[list[Turn]], str]
 OPEN, MIDDLE, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 #: Fixed strings: the controls of this template and of common others.
 CONTROLS = (OPEN, MIDDLE, CLOSE, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>")
-_ESCAPE = re.compile("|".join(f"(?<={re.escape(c[0])})\\\\*(?={re.escape(c[1:])})" for c in CONTROLS))
-_UNESCAPE = re.compile("|".join(f"(?<={re.escape(c[0])})\\\\+(?={re.escape(c[1:])})" for c in CONTROLS))
+FIRSTS = sorted({c[0] for c in CONTROLS})
+
+
+def _inside(slashes: str) -> re.Pattern:
+    """A control's first character and the backslashes before its rest."""
+    return re.compile("|".join(f"{re.escape(f)}{slashes}(?={'|'.join(re.escape(c[1:]) for c in CONTROLS if c[0] == f)})" for f in FIRSTS))
+
+
+_ESCAPE, _UNESCAPE = _inside(r"\\*"), _inside(r"\\+")
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: m[0] + "\\", text)
+    # Most texts hold no first character of a control, and prefixes render them again and again.
+    return _ESCAPE.sub(lambda m: m[0] + "\\", text) if any(f in text for f in FIRSTS) else text
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(lambda m: m[0][1:], text)
+    return _UNESCAPE.sub(lambda m: m[0][0] + m[0][2:], text) if any(f in text for f in FIRSTS) else text
 
 
 def marked(turns: list[Turn]) -> str:
