@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, near_dup, secrets
+from . import chat, exact_dedup, filter_audit, mixing, near_dup, repair, secrets
 from .common import WORD
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,4 +80,7 @@ SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesc
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
-ORACLES = {"op2_chat_format": CHAT, "op3_minhash_near_dedup": NEAR_DUPLICATES, "op8_mix_sources": mixing.ORACLE, "op9_secret_scan": SECRETS}
+ORACLES = {
+    "op2_chat_format": CHAT, "op3_minhash_near_dedup": NEAR_DUPLICATES, "op8_mix_sources": mixing.ORACLE, "op9_secret_scan": SECRETS,
+    "op11_filter_audit": filter_audit.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE, "op13_conversation_repair": repair.ORACLE,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, importance, mixing, near_dup, nearest, secrets, token_counts, toxicity, urls
+from . import chat, decontaminate, exact_dedup, filter_audit, importance, mixing, near_dup, nearest, repair, secrets, token_counts, toxicity, urls
 from .oracles import ORACLES
 
 
@@ -56,6 +56,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.histogram(token_counts.lengths(_table(spark, sf_dir, "documents"), token_counts.read_vocabulary(spark)))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(repair.damage(_table(spark, sf_dir, "conversations")))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -69,4 +81,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
