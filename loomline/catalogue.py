@@ -116,6 +116,22 @@ program("prog_last_row", "DATA q TYPE string. " + _NATIONS + "LOOP AT t INTO DAT
 program("prog_read_assigning", _NATIONS + "READ TABLE t ASSIGNING FIELD-SYMBOL(<f>) WITH KEY n_nationkey = 5. <f>-n_name = 'changed'.", "t", "SELECT n_nationkey, CASE WHEN n_nationkey = 5 THEN 'changed' ELSE n_name END AS n_name, n_regionkey FROM nation")
 program("prog_appending", _NATIONS + "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1 APPENDING TABLE @t.", "t", "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY k, n_nationkey) AS idx FROM (SELECT *, 1 AS k FROM nation UNION ALL SELECT *, 2 FROM nation WHERE n_regionkey = 1)", True)
 program("prog_is_initial", "DATA: n TYPE i, a TYPE i, b TYPE i. IF n IS INITIAL. a = 1. ENDIF. n = 5. IF n IS INITIAL. b = 1. ENDIF. DATA: BEGIN OF s, a TYPE i, b TYPE i, END OF s. s-a = a. s-b = b.", "s", "SELECT CAST(1 AS INTEGER) AS a, CAST(0 AS INTEGER) AS b")
+# Loops with running state: rounds depend on the ones before.
+_R = "DATA: BEGIN OF g1, id TYPE int8, n TYPE int8, END OF g1. DATA r LIKE STANDARD TABLE OF g1. "
+_I = "row_number() OVER (ORDER BY event_id) AS idx FROM "
+program("prog_running_total", _EVENTS + _R + "DATA s TYPE int8. LOOP AT t INTO DATA(w). IF w-event_type = 'refund'. s = s - w-user_id. ELSE. s = s + w-user_id. ENDIF. APPEND VALUE #( id = w-event_id n = s ) TO r. ENDLOOP.", "r", "SELECT event_id AS id, CAST(sum(CASE WHEN event_type = 'refund' THEN -user_id ELSE user_id END) OVER (ORDER BY event_id) AS BIGINT) AS n, " + _I + "events", True)
+program("prog_exit", _EVENTS + "DATA: total TYPE int8, n TYPE int8, at TYPE int8. LOOP AT t INTO DATA(w) WHERE user_id > 10. total = total + w-user_id. at = w-event_id. IF total > 20000. EXIT. ENDIF. n = n + 1. ENDLOOP. DATA: BEGIN OF s, total TYPE int8, n TYPE int8, at TYPE int8, END OF s. s-total = total. s-n = n. s-at = at.", "s", "WITH c AS (SELECT event_id, sum(user_id) OVER (ORDER BY event_id) AS s FROM events WHERE user_id > 10), e AS (SELECT min(event_id) AS e FROM c WHERE s > 20000) SELECT CAST(max(s) AS INTEGER) AS total, CAST(count(*) FILTER (WHERE e IS NULL OR event_id < e) AS INTEGER) AS n, CAST(max(event_id) AS INTEGER) AS at FROM c, e WHERE e IS NULL OR event_id <= e")
+program("prog_counter_if", _EVENTS + _R + "DATA: n TYPE int8, last TYPE string. LOOP AT t ASSIGNING FIELD-SYMBOL(<f>). IF <f>-event_type <> last. n = 0. last = <f>-event_type. ENDIF. n = n + 1. CHECK n > 1. APPEND VALUE #( id = <f>-event_id n = n ) TO r. ENDLOOP.", "r", "WITH e AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (ORDER BY event_id) AS run FROM e), n AS (SELECT event_id, row_number() OVER (PARTITION BY run ORDER BY event_id) AS n FROM g) SELECT event_id AS id, n, " + _I + "n WHERE n > 1", True)
+program("prog_loop_records", _EVENTS + _R + "DATA: most TYPE f, n TYPE int8. LOOP AT t INTO DATA(w). CHECK w-event_type <> 'view'. IF w-value > most. most = w-value. n = n + 1. APPEND VALUE #( id = w-event_id n = n ) TO r. ENDIF. ENDLOOP.", "r", "WITH e AS (SELECT event_id, value, coalesce(max(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS most FROM events WHERE event_type <> 'view') SELECT event_id AS id, row_number() OVER (ORDER BY event_id) AS n, " + _I + "e WHERE value > greatest(most, 0)", True)
+program("prog_loop_states", _EVENTS + "DATA state TYPE string. state = 'off'. LOOP AT t REFERENCE INTO DATA(r). CASE state. WHEN 'off'. IF r->event_type = 'click'. state = 'armed'. ENDIF. WHEN 'armed'. IF r->event_type = 'purchase'. state = 'on'. ELSEIF r->event_type = 'view'. state = 'off'. ENDIF. WHEN OTHERS. IF r->event_type = 'click'. state = 'off'. ENDIF. ENDCASE. r->event_type = state. ENDLOOP.", "t", """
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (ORDER BY event_id) AS i FROM events),
+s AS (SELECT CAST(0 AS BIGINT) AS i, 'off' AS state UNION ALL
+  SELECT e.i, CASE state WHEN 'off' THEN CASE WHEN event_type = 'click' THEN 'armed' ELSE state END WHEN 'armed' THEN CASE event_type WHEN 'purchase' THEN 'on' WHEN 'view' THEN 'off' ELSE state END ELSE CASE WHEN event_type = 'click' THEN 'off' ELSE state END END
+  FROM s JOIN e ON e.i = s.i + 1)
+SELECT event_id, user_id, state AS event_type, value FROM e JOIN s ON s.i = e.i
+""")
+program("prog_loop_delete", _EVENTS + "DATA last TYPE string. LOOP AT t INTO DATA(w). IF w-event_type = last. DELETE t INDEX sy-tabix. CONTINUE. ENDIF. last = w-event_type. ENDLOOP.", "t", "SELECT event_id, user_id, event_type, value, " + _I + "(SELECT *, lag(event_type) OVER (ORDER BY event_id) AS was FROM events) WHERE was IS NULL OR was <> event_type", True)
+program("prog_loop_affine", _EVENTS + "DATA h TYPE f. LOOP AT t INTO DATA(w). h = h / 2. h = h + w-user_id. ENDLOOP. DATA n TYPE i. n = lines( t ). FORM unused USING p. CLEAR p. ENDFORM. DATA: BEGIN OF s, h TYPE i, n TYPE i, END OF s. s-h = floor( h ). s-n = n.", "s", "SELECT CAST(floor(sum(user_id * pow(2, i - n))) AS INTEGER) AS h, CAST(max(n) AS INTEGER) AS n FROM (SELECT user_id, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS n FROM events)")
 program("prog_loop_group_by", _EVENTS + "DATA: BEGIN OF g1, kind TYPE string, n TYPE i, END OF g1. DATA r LIKE STANDARD TABLE OF g1. LOOP AT t INTO DATA(w) GROUP BY ( kind = w-event_type n = GROUP SIZE ) INTO DATA(g). APPEND VALUE #( kind = g-kind n = g-n ) TO r. ENDLOOP.", "r", "SELECT event_type AS kind, CAST(count(*) AS INTEGER) AS n, row_number() OVER (ORDER BY min(event_id)) AS idx FROM events GROUP BY event_type", True)
 program("prog_loop_at_group", _EVENTS + "DATA: BEGIN OF g1, kind TYPE string, id TYPE int8, END OF g1. DATA r LIKE STANDARD TABLE OF g1. LOOP AT t INTO DATA(w) WHERE user_id < 50 GROUP BY ( kind = w-event_type n = GROUP SIZE ) INTO DATA(g). CHECK g-n > 2. LOOP AT GROUP g INTO DATA(m) WHERE value > 10. APPEND VALUE #( kind = g-kind id = m-event_id ) TO r. ENDLOOP. ENDLOOP.", "r", "SELECT kind, id, row_number() OVER (ORDER BY first, id) AS idx FROM (SELECT event_type AS kind, event_id AS id, value, min(event_id) OVER (PARTITION BY event_type) AS first, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE user_id < 50) WHERE n > 2 AND value > 10", True)
 program("itab_delete_where", _EVENTS + "DELETE t WHERE value > 50 AND user_id < 100.", "t", f"SELECT event_id, user_id, event_type, value, row_number() OVER (ORDER BY i) AS idx FROM ({_E}) WHERE NOT coalesce(value > 50 AND user_id < 100, false)", True)

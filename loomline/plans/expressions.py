@@ -35,6 +35,8 @@ class Scope:
     locals: dict[str, Column] = field(default_factory=dict)
     aggregate: Callable[[Node], Column] | None = None
     target: T.DataType | None = None
+    #: Rows of the internal table of a name, if it is one.
+    size_of: Callable[[list[str] | None], int | None] = lambda path: None
 
     def with_local(self, name: str, value: Column) -> "Scope":
         return replace(self, locals=self.locals | {name.lower(): value})
@@ -178,6 +180,8 @@ def column(node: Node, scope: Scope) -> Column:
                 raise BindError(node, "an aggregate is not allowed here")
             return scope.aggregate(node)
         name = path_of(node.one("function"))
+        if name == ["lines"] and len(node.all("arg")) == 1 and (size := scope.size_of(path_of(node.all("arg")[0]))) is not None:
+            return F.lit(size)
         builder = name and registry.FUNCTIONS.get(name[-1])
         if builder is None:
             raise BindError(node, f"unknown function {name}")

@@ -3,7 +3,8 @@
 Scalars live on the driver as Python values or column expressions; tables are `Itab`s and never leave the cluster. Loop bodies are
 translated when every statement in them is one of: assignment to a component of the loop's field symbol, APPEND or INSERT of an
 expression, CHECK, IF around these, adding up a scalar, taking a scalar from the row (the last row counts), or LOOP AT GROUP over the groups of the loop
-around it. What a body assigns to a scalar can't be read in the same body. Any other body raises an error that names its place.
+around it. A body that reads what it has assigned to a scalar, leaves the loop, deletes its row or appends more than once is compiled to a scan (`running`). Any
+other body raises an error that names its place. Declarations of procedures and classes are skipped.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators.itab import DEFAULTS, IDX, Itab, numbered
 from .expressions import BindError, Scope, column, initial, path_of, spark_type
+from .running import Running
 from .select import Binder, Catalog
 from .syntax import Node, parse
 
@@ -111,7 +113,43 @@ class Program:
             name, kind = kinds[path[0]]
             return F.col(".".join(f"`{x}`" for x in (name, *path[1:]))), kind
 
-        return Scope(field_of, {k: v for k, v in self.variables.items() if not isinstance(v, (Itab, DataFrame))})
+        return Scope(field_of, {k: v for k, v in self.variables.items() if not isinstance(v, (Itab, DataFrame))}, size_of=self.size)
+
+    def size(self, path: list[str] | None) -> int | None:
+        """Rows of an internal table, else None."""
+        table = self.variables.get(path[0]) if path and len(path) == 1 else None
+        return table._size() if isinstance(table, Itab) else None
+
+    def folded(self, node: Node) -> tuple | None:
+        """(value,) of an expression of whole numbers, texts and truth values that needs no table and no rule of Spark's, else None."""
+        if node.kind == "Paren_Expr":
+            return self.folded(node.one("inner"))
+        if node.kind == "Basic_Lit":
+            return (int(node["value"]),) if node["type"] == "number" and "." not in node["value"] else (node["value"],) if node["type"] == "string" else None
+        path = path_of(node)
+        if path:
+            value = self.variables.get(path[0])
+            for p in path[1:]:
+                value = value.get(p) if isinstance(value, dict) else None
+            return (value,) if isinstance(value, (bool, int, str)) else None
+        if node.kind == "Unary_Expr" and node["op"] in ("NOT", "-"):
+            inner = self.folded(node.one("operand"))
+            return inner and ((not inner[0],) if node["op"] == "NOT" and isinstance(inner[0], bool) else (-inner[0],) if node["op"] == "-" and type(inner[0]) is int else None)
+        if node.kind != "Binary_Expr":
+            return None
+        left, right = self.folded(node.one("left")), self.folded(node.one("right"))
+        if left is None or right is None or type(left[0]) is not type(right[0]):
+            return None
+        (a,), (b,), op = left, right, node["op"]
+        if isinstance(a, bool):
+            return {"AND": (a and b,), "OR": (a or b,)}.get(op)
+        out = {"=": a == b, "<>": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}.get(op)
+        if out is not None:
+            return (out,)
+        if isinstance(a, int):
+            out = {"+": a + b, "-": a - b, "*": a * b}.get(op)
+            return (out,) if out is not None and abs(out) < 1 << 31 else None
+        return (a + b,) if op == "&" else None
 
     def value(self, node: Node):
         """A scalar or structure: evaluated by Spark on one row, unless it is a literal."""
@@ -120,6 +158,8 @@ class Program:
         path = path_of(node)
         if path and len(path) == 1 and path[0] in self.variables:
             return self.variables[path[0]]
+        if (known := self.folded(node)) is not None:
+            return known[0]
         got = self.spark.range(1).select(column(node, self.scope()).alias("v")).first().v
         return got.asDict(True) if isinstance(got, T.Row) else got
 
@@ -133,6 +173,9 @@ class Program:
     def _report_decl(self, node: Node) -> None:
         pass
 
+    #: Procedures and classes that nothing calls don't do anything.
+    _form_decl = _module_decl = _class_def_decl = _class_impl_decl = _interface_decl = _event_block = _report_decl
+
     def _field_symbol_decl(self, node: Node) -> None:
         pass
 
@@ -445,7 +488,7 @@ class Program:
         table = self.table(node.one("table"))
         target = node.one("assigning") or node.one("into")
         alias = (target["name"] if target is not None else "").lower()
-        assigning = node.one("assigning") is not None
+        assigning = node.one("assigning") is not None or bool(node["reference"])
         bound = lambda n: None if n is None else int(self.value(n))
         visited = F.lit(True)
         for low, test in ((bound(node.one("from")), F.col(IDX).__ge__), (bound(node.one("to")), F.col(IDX).__le__)):
@@ -455,6 +498,8 @@ class Program:
         visited = F.coalesce(visited, F.lit(False))
         if node.all("key"):
             self._groups(node, table, alias, visited)
+        elif node["reference"]:
+            Running(self, node.all("body"), name, alias, True, visited).run()
         else:
             self._spread(node.all("body"), name, alias, assigning, visited)
 
@@ -476,8 +521,10 @@ class Program:
         del self.variables[GROUPS]
 
     def _spread(self, body: list[Node], name: str, alias: str, assigning: bool, test: Column) -> None:
-        """Runs a body over all visited rows at once, if no statement of it reads what another has assigned."""
+        """Runs a body over all visited rows at once; if its rounds depend on each other, as a scan."""
         nodes = [x for n in body for x in n.walk()]
+        into = [path_of(n.one("table")) for n in nodes if n.kind in ("Append_Stmt", "Insert_Stmt")]
+        ordered = any(n.kind in ("Expr_Stmt", "Case_Stmt", "Delete_Stmt") for n in nodes) or any(into.count(t) > 1 for t in into)
         written = {(path_of(n.one("target")) or [""])[0] for n in nodes if n.kind == "Assign_Stmt"} - {alias, ""}
         written |= {n.one("target")["name"].lower() for n in nodes if n.kind == "Assign_Stmt" and n.one("target").kind == "Data_Inline_Decl"}
         for n in nodes:
@@ -489,7 +536,12 @@ class Program:
                 read = [n.one("source")] if n.kind in ("Append_Stmt", "Insert_Stmt") else []
             for x in (x for r in read if r is not None for x in r.walk()):
                 if (path_of(x) or [""])[0] in written:
-                    raise BindError(x, "this loop body has an order that can't be spread over a cluster")
+                    ordered = True
+        if ordered:
+            if name in (GROUPS, MEMBERS):
+                raise BindError(body[0], "this loop body has an order that can't be spread over a cluster")
+            Running(self, body, name, alias, assigning, test).run()
+            return
         self._body(body, name, alias, assigning, test)
 
     def _body(self, body: list[Node], name: str, alias: str, assigning: bool, test: Column) -> None:

@@ -495,6 +495,7 @@ def _loop(p: Parser) -> Node:
         elif p.skip("ASSIGNING"):
             out.add("assigning", p.expr())
         elif p.skip("REFERENCE", "INTO"):
+            out.attrs["reference"] = True
             out.add("into", p.expr())
         elif p.skip("FROM"):
             out.add("from", p.expr())
