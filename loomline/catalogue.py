@@ -119,7 +119,7 @@ program("prog_is_initial", "DATA: n TYPE i, a TYPE i, b TYPE i. IF n IS INITIAL.
 # Loops with running state: rounds depend on the ones before.
 _R = "DATA: BEGIN OF g1, id TYPE int8, n TYPE int8, END OF g1. DATA r LIKE STANDARD TABLE OF g1. "
 _I = "row_number() OVER (ORDER BY event_id) AS idx FROM "
-program("prog_running_total", _EVENTS + _R + "DATA s TYPE int8. LOOP AT t INTO DATA(w). IF w-event_type = 'refund'. s = s - w-user_id. ELSE. s = s + w-user_id. ENDIF. APPEND VALUE #( id = w-event_id n = s ) TO r. ENDLOOP.", "r", "SELECT event_id AS id, CAST(sum(CASE WHEN event_type = 'refund' THEN -user_id ELSE user_id END) OVER (ORDER BY event_id) AS BIGINT) AS n, " + _I + "events", True)
+program("prog_running_total", _EVENTS + _R + "DATA s TYPE int8. LOOP AT t INTO DATA(w). IF w-event_type = 'error'. s = s - w-user_id. ELSE. s = s + w-user_id. ENDIF. APPEND VALUE #( id = w-event_id n = s ) TO r. ENDLOOP.", "r", "SELECT event_id AS id, CAST(sum(CASE WHEN event_type = 'error' THEN -user_id ELSE user_id END) OVER (ORDER BY event_id) AS BIGINT) AS n, " + _I + "events", True)
 program("prog_exit", _EVENTS + "DATA: total TYPE int8, n TYPE int8, at TYPE int8. LOOP AT t INTO DATA(w) WHERE user_id > 10. total = total + w-user_id. at = w-event_id. IF total > 20000. EXIT. ENDIF. n = n + 1. ENDLOOP. DATA: BEGIN OF s, total TYPE int8, n TYPE int8, at TYPE int8, END OF s. s-total = total. s-n = n. s-at = at.", "s", "WITH c AS (SELECT event_id, sum(user_id) OVER (ORDER BY event_id) AS s FROM events WHERE user_id > 10), e AS (SELECT min(event_id) AS e FROM c WHERE s > 20000) SELECT CAST(max(s) AS INTEGER) AS total, CAST(count(*) FILTER (WHERE e IS NULL OR event_id < e) AS INTEGER) AS n, CAST(max(event_id) AS INTEGER) AS at FROM c, e WHERE e IS NULL OR event_id <= e")
 program("prog_counter_if", _EVENTS + _R + "DATA: n TYPE int8, last TYPE string. LOOP AT t ASSIGNING FIELD-SYMBOL(<f>). IF <f>-event_type <> last. n = 0. last = <f>-event_type. ENDIF. n = n + 1. CHECK n > 1. APPEND VALUE #( id = <f>-event_id n = n ) TO r. ENDLOOP.", "r", "WITH e AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (ORDER BY event_id) AS run FROM e), n AS (SELECT event_id, row_number() OVER (PARTITION BY run ORDER BY event_id) AS n FROM g) SELECT event_id AS id, n, " + _I + "n WHERE n > 1", True)
 program("prog_loop_records", _EVENTS + _R + "DATA: most TYPE f, n TYPE int8. LOOP AT t INTO DATA(w). CHECK w-event_type <> 'view'. IF w-value > most. most = w-value. n = n + 1. APPEND VALUE #( id = w-event_id n = n ) TO r. ENDIF. ENDLOOP.", "r", "WITH e AS (SELECT event_id, value, coalesce(max(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS most FROM events WHERE event_type <> 'view') SELECT event_id AS id, row_number() OVER (ORDER BY event_id) AS n, " + _I + "e WHERE value > greatest(most, 0)", True)

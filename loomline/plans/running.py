@@ -62,6 +62,9 @@ class Walk:
     deleted: Column | None = None
     left: Column | None = None
     stopped: Column | None = None
+    #: The scalar whose changes may be told by comparing it, and what it has been compared with so far.
+    own: str = ""
+    compared: list[Node] = field(default_factory=list)
 
 
 def _both(a: Column | None, b: Column | None) -> Column | None:
@@ -201,6 +204,21 @@ class Running:
     def test(self, node: Node, w: Walk) -> Column:
         return F.coalesce(self.value(node, w), F.lit(False))
 
+    def _compares(self, w: Walk, node: Node | None) -> Column | None:
+        """`x = s` or `x <> s` for the scalar that is being solved: when a row passes that may make it x.
+
+        If nothing but x is assigned under or after such a test, it makes no difference to s: where it keeps s from becoming x, s is x. Only a null x isn't unequal.
+        """
+        test = _bare(node) if node is not None else None
+        if not w.own or w.own not in w.tainted or test is None or test.kind != "Binary_Expr" or test["op"] not in ("=", "<>"):
+            return None
+        sides = [_bare(test.one("left")), _bare(test.one("right"))]
+        for a, b in (sides, sides[::-1]):
+            if path_of(a) == [w.own] and not names_in(b) & w.tainted:
+                w.compared.append(b)
+                return self.value(b, w).isNotNull() if test["op"] == "<>" else F.lit(True)
+        return None
+
     # The symbolic pass
     def walk(self, w: Walk, known: set[str], assign=None, special=None) -> Walk:
         """known: scalars whose states are columns. assign(w, node, guard) takes assignments to the scalar that is being solved; special(w, node, guard) may take an IF whole."""
@@ -224,7 +242,8 @@ class Running:
                 here = _both(guard, alive)
                 word = self._word(n)
                 if n.kind == "Check_Stmt":
-                    alive = _both(alive, self.test(n.one("condition"), w))
+                    met = self._compares(w, n.one("condition"))
+                    alive = _both(alive, self.test(n.one("condition"), w) if met is None else met)
                 elif word == "CONTINUE" or word == "EXIT" and effects:
                     if word == "EXIT":
                         met = F.lit(True) if here is None else here
@@ -243,6 +262,10 @@ class Running:
                     seen: Column | None = None
                     on = self.value(n.one("on"), w) if n.kind == "Case_Stmt" else None
                     for test, inside in self._branches(n):
+                        compares = self._compares(w, test) if n.kind == "If_Stmt" else None
+                        if compares is not None:
+                            go(inside, _both(here, compares), False)
+                            continue
                         if test is None or test.kind == "Case_Branch" and test["others"]:
                             met = None
                         elif n.kind == "If_Stmt":
@@ -272,7 +295,7 @@ class Running:
         t = self.target(n)
         if "-" not in t and t not in known:
             return
-        if names_in(n.one("value")) & w.tainted:
+        if names_in(n.one("value")) & w.tainted or w.compared:
             w.tainted.add(t)
             return
         new = self.value(n.one("value"), w)
@@ -324,14 +347,17 @@ class Running:
             if w is None:
                 return mine(n)
             (factor, addend, how), e = w.step, _bare(n.one("value"))
+            if not all(_same(x, e) for x in w.compared):
+                raise NoForm
             left, right = (_bare(x) if x is not None else None for x in (e.one("left"), e.one("right"))) if e.kind == "Binary_Expr" else (None, None)
             is_s = lambda x: x is not None and path_of(x) == [s]
             if is_s(e):
                 return True
-            if s in w.tainted and e.kind == "Binary_Expr" and e["op"] in "+-*" and (is_s(left) or is_s(right) and e["op"] in "+*") and s not in names_in(right if is_s(left) else left):
+            if s in w.tainted and e.kind == "Binary_Expr" and e["op"] in "+-*/" and (is_s(left) or is_s(right) and e["op"] in "+*") and s not in names_in(right if is_s(left) else left):
                 x = self.value(right if is_s(left) else left, w)
-                if e["op"] == "*":
-                    w.step = (when(guard, factor * x, factor), when(guard, addend * x, addend), "affine")
+                if e["op"] in "*/":
+                    scaled = lambda c: c * x if e["op"] == "*" else c / x
+                    w.step = (when(guard, scaled(factor), factor), when(guard, scaled(addend), addend), "affine")
                 else:
                     x = F.coalesce(x, F.lit(0))
                     w.step = (factor, when(guard, addend + x if e["op"] == "+" else addend - x, addend), "affine" if how == "affine" else "sum")
@@ -383,7 +409,7 @@ class Running:
             return assign, special
 
         try:
-            w = self.walk(fresh(step=(F.lit(1), F.lit(0) if isinstance(start, (int, float)) and not isinstance(start, bool) else F.lit(None), "last")), known, linear)
+            w = self.walk(fresh(step=(F.lit(1), F.lit(0) if isinstance(start, (int, float)) and not isinstance(start, bool) else F.lit(None), "last"), own=s), known, linear)
             factor, addend, how = w.step
             if how == "affine":
                 self.df = scan.affine(self.df, IDX, F.when(on, factor).otherwise(1), F.when(on, addend).otherwise(0), start, out)
