@@ -189,7 +189,7 @@ def _divergence(k: float, n: float, prior: float) -> float:
     return n * ((q * math.log(q / prior) if q else 0.0) + ((1 - q) * math.log((1 - q) / (1 - prior)) if q < 1 else 0.0))
 
 
-def mine(sample: DataFrame) -> list[Term]:
+def mine(ws: Workspace, sample: DataFrame) -> list[Term]:
     """Terms whose marked rows are toxic more often than rows at large, beyond chance; copies count once."""
     totals = {bool(r.toxic): (r.rows, r.words) for r in sample.groupBy("toxic").agg(F.count("*").alias("rows"), F.sum("n").alias("words")).collect()}
     bad, all_ = totals.get(True, (0, 0))[0], sum(r for r, _ in totals.values())
@@ -203,17 +203,24 @@ def mine(sample: DataFrame) -> list[Term]:
     rates = each.groupBy("term").agg(((F.sum(F.when(F.col("toxic") == 0, F.col("k")).otherwise(0)) + 0.5) / words).alias("rate"))
     mean = F.col("rate") * F.col("n")
     much = F.when(F.col("k") > mean, F.col("k") * F.log(F.col("k") / mean) - F.col("k") + mean).otherwise(0.0)
-    marked = each.join(rates, "term").where(much >= MARKED)
-    found = marked.groupBy("term", "rate").agg(F.sum("toxic").alias("k"), F.count("*").alias("n"), F.collect_list(F.when(F.col("toxic") == 1, F.col("sketch"))).alias("rows")).where(F.col("k") >= FEWEST)
+    marked = ws.save(each.join(rates, "term").where(much >= MARKED).select("term", "rate", "toxic", "sketch"))
+    found = marked.groupBy("term", "rate").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")).where(F.col("k") >= FEWEST)
     rows = [r for r in found.collect() if r.k > prior * r.n]  # of the bounded sample
     sure = math.log(max(len(rows), 1))  # about one of them may pass by luck
     evidence = {r.term: _divergence(r.k, r.n, prior) for r in rows}
     strong = sorted((r for r in rows if evidence[r.term] > sure), key=lambda r: (-evidence[r.term], -len(r.term.rstrip("*")), r.term))
+    if not strong:
+        return []
+    numbers = sample.sparkSession.createDataFrame([(r.term, i) for i, r in enumerate(strong)], "term string, i int")
+    of: dict[int, list[tuple]] = {i: [] for i in range(len(strong))}
+    for r in sorted(marked.where("toxic = 1").join(numbers, "term").groupBy("sketch").agg(F.collect_list("i").alias("terms")).collect(), key=lambda r: r.sketch):  # near copies are neighbours
+        doc = tuple(r.sketch)
+        for i in r.terms:
+            of[i].append(doc)
     covered: Counter = Counter()
     out: list[Term] = []
-    for r in strong:
-        stem = r.term.rstrip("*")
-        docs = sorted(map(tuple, r.rows))  # near copies are neighbours
+    for i, r in enumerate(strong):
+        stem, docs = r.term.rstrip("*"), of[i]
         new = sum(covered[d] < 3 for d in docs)
         # A stem and its words are one term; a term that marks what others mark thrice adds nothing.
         kin = any(c.text.endswith("*") and stem.startswith(c.text[:-1]) or r.term.endswith("*") and c.text.startswith(stem) for c in out)
@@ -323,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     ws = Workspace(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = _sample(ws, docs, labels)
-    terms = mine(ws.save(_distinct(sample)))
+    terms = mine(ws, ws.save(_distinct(sample)))
     model = Model(terms)
     features = ws.save(_features(docs, model))
     histogram = {r[0]: r[1] for r in features.groupBy("votes").count().collect()}
