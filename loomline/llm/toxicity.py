@@ -196,14 +196,14 @@ def mine(ws: Workspace, sample: DataFrame) -> list[Term]:
     if bad < 5 or bad == all_:
         return []
     prior, words = bad / all_, max(1, totals[False][1])
-    each = sample.select("toxic", "n", "sketch", F.explode("terms").alias("t")).select("toxic", "n", "sketch", "t.*")
+    each = sample.select("toxic", "n", F.xxhash64("sketch").alias("h"), F.explode("terms").alias("t")).select("toxic", "n", "h", "t.*")
     # Only terms of several toxic rows can pass; the others aren't looked at in clean rows.
     often = each.where("toxic = 1").groupBy("term").count().where(F.col("count") >= FEWEST).select("term")
     each = each.join(often, "term", "left_semi")
     rates = each.groupBy("term").agg(((F.sum(F.when(F.col("toxic") == 0, F.col("k")).otherwise(0)) + 0.5) / words).alias("rate"))
     mean = F.col("rate") * F.col("n")
     much = F.when(F.col("k") > mean, F.col("k") * F.log(F.col("k") / mean) - F.col("k") + mean).otherwise(0.0)
-    marked = ws.save(each.join(rates, "term").where(much >= MARKED).select("term", "rate", "toxic", "sketch"))
+    marked = ws.save(each.join(rates, "term").where(much >= MARKED).select("term", "rate", "toxic", "h"))
     found = marked.groupBy("term", "rate").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")).where(F.col("k") >= FEWEST)
     rows = [r for r in found.collect() if r.k > prior * r.n]  # of the bounded sample
     sure = math.log(max(len(rows), 1))  # about one of them may pass by luck
@@ -213,7 +213,8 @@ def mine(ws: Workspace, sample: DataFrame) -> list[Term]:
         return []
     numbers = sample.sparkSession.createDataFrame([(r.term, i) for i, r in enumerate(strong)], "term string, i int")
     of: dict[int, list[tuple]] = {i: [] for i in range(len(strong))}
-    for r in sorted(marked.where("toxic = 1").join(numbers, "term").groupBy("sketch").agg(F.collect_list("i").alias("terms")).collect(), key=lambda r: r.sketch):  # near copies are neighbours
+    hits = marked.where("toxic = 1").join(numbers, "term").groupBy("h").agg(F.collect_list("i").alias("terms"))
+    for r in sorted(sample.select("sketch", F.xxhash64("sketch").alias("h")).join(hits, "h").select("sketch", "terms").collect(), key=lambda r: r.sketch):  # near copies are neighbours
         doc = tuple(r.sketch)
         for i in r.terms:
             of[i].append(doc)
