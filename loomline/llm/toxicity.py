@@ -12,7 +12,7 @@
 3. A linear classifier is trained on the posterior labels of the sample's rows.
 
 Labels of rows whose crc32(doc_id as text) mod 3 is 1 are never read, and no label, language, source
-or id enters a score. SAMPLE bounds the labelled rows (ids and rows) that the lexicon and the classifier are fitted on; the lexicon has no other bound.
+or id enters a score. SAMPLE labelled ids, with REPEATS rows each at most, are what the lexicon and the classifier are fitted on; the lexicon has no other bound.
 Copies (rows of equal sketches) count once when terms are mined, and a word counts once in a text for each word that it follows, so repeated lines aren't evidence. A term whose
 rows are near copies of each other is a mark of that text and isn't taken.
 
@@ -34,11 +34,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Workspace, crc_third
 
-#: The bound of the labelled rows that are fitted on; values of a text's sketch, by which copies are told.
-SAMPLE, ALIKE = 8000, 64
+#: The bounds of the labelled ids that are fitted on and of the rows of one id; values of a text's sketch, by which copies are told.
+SAMPLE, REPEATS, ALIKE = 8000, 4, 64
+#: Rows whose terms are held at once.
+SLICE = 64
 #: From which surprise on a term marks a text; the voters' bars for the sums of a tier; how toxic the first tier's marked rows are at least; the least number of toxic rows.
 MARKED, BARS, TIER, FEWEST = 4.0, (4.0, 7.0, 12.0), 0.95, 3
 LEXICONS, THRESHOLD = 2 * len(BARS), 0.7
@@ -147,12 +150,13 @@ def _sample(ws: Workspace, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """toxic, terms (with their counts), n (words), sketch, text of at most SAMPLE labelled rows outside the held-out third."""
     allowed = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((crc_third() != 1) & F.col("toxic").isin(0, 1))
     few = allowed.orderBy(F.xxhash64("doc_id"), "toxic").limit(SAMPLE)
-    # The limit bounds the side that is sent to all executors, and another one the rows that repeat an id.
+    # The limit bounds the side that is sent to all executors, and REPEATS the rows of an id.
     rows = docs.join(F.broadcast(few.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE).select("toxic", "text")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= REPEATS).select("toxic", "text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             terms, sizes, sketch = [], [], []
             for x in b.column(1):
                 tokens = WORD.findall((x.as_py() or "").lower())
