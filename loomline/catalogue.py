@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,12 @@ from pyspark.sql import types as T
 from . import code_queries
 from .functions import text
 from .operators import code
-from .operators.itab import IDX, Itab
+from .operators.itab import IDX, Itab, shared_folder
 from .plans.prepared import as_text, execute, real, whole
 from .plans.program import Program
 from .plans.select import Catalog, select
-from .streaming import messages
+from .streaming import dispatch, framed, messages
+from .streaming.messages import run_to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(code_queries.QUERIES)
 ORACLES: dict[str, str] = dict(code_queries.ORACLES)
@@ -350,3 +352,54 @@ SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_i
 def _sessions(spark, sf_dir):
     out = messages.run_to_end(messages.sessions(messages.read_table(spark, sf_dir, "events")), "sessions")
     return out.withColumns({"total": F.round("total", 4), "start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
+
+
+# Framed messages -----------------------------------------------------------------------------------------
+
+_METHOD = "CASE event_type WHEN 'signup' THEN 'initialize' WHEN 'view' THEN 'textDocument/hover' WHEN 'click' THEN 'textDocument/didOpen' WHEN 'purchase' THEN 'workspace/none' ELSE 'shutdown' END"
+_IDLE = 12 * 3600 * 1000
+
+
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a message; a client's messages are in one of four files."""
+    e = _table(spark, sf_dir, "events")
+    body = F.to_json(F.struct(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"), F.expr(_METHOD).alias("method")))
+    return e.select(F.concat(F.lit("log"), (F.col("user_id") % 4).cast("string")).alias("file"), F.col("event_id").alias("seq"), body.alias("body"))
+
+
+def _restarted(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Runs a stream over a log that ends amid a frame, lets the log grow and goes on from the checkpoint."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    messages = _framed(spark, sf_dir)
+    for share in (0.37, 1.0):
+        framed.write_log(messages, f"{folder}/log", share)
+        out = build(framed.read_log(spark, f"{folder}/log", chunk=1 << 16))
+        run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query("stream_frames", "SELECT 'log' || (user_id % 4) AS file, event_id AS seq, user_id AS client, " + _METHOD + " AS method FROM events")
+def _frames(spark, sf_dir):
+    m = F.from_json("body", dispatch.BODY)
+    return _restarted(spark, sf_dir, "frames", lambda log: log.select("file", m["seq"].alias("seq"), m["client"].alias("client"), m["method"].alias("method")))
+
+
+@query("stream_dispatch", f"""
+WITH RECURSIVE e AS (SELECT user_id AS client, event_id AS seq, epoch_ms(ts) AS ms, {_METHOD} AS method, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT *, coalesce(ms - lag(ms) OVER (PARTITION BY client ORDER BY i), 0) > {_IDLE} AS idle FROM e),
+s AS (
+  SELECT DISTINCT client, CAST(0 AS BIGINT) AS i, 0 AS phase, CAST(NULL AS INTEGER) AS code, CAST(NULL AS BIGINT) AS seq, '' AS method FROM e
+  UNION ALL
+  SELECT client, i, CASE WHEN method = 'initialize' AND was = 0 THEN 1 WHEN method = 'shutdown' AND was = 1 THEN 2 ELSE was END,
+    CASE WHEN method = 'textDocument/didOpen' THEN NULL WHEN method = 'initialize' THEN CASE WHEN was = 0 THEN 0 ELSE -32600 END WHEN was = 0 THEN -32002 WHEN was = 2 THEN -32600 WHEN method = 'workspace/none' THEN -32601 ELSE 0 END, seq, method
+  FROM (SELECT f.client, f.i, f.seq, f.method, CASE WHEN f.idle THEN 0 ELSE s.phase END AS was FROM s JOIN f ON f.client = s.client AND f.i = s.i + 1))
+SELECT client, seq, method, code FROM s WHERE code IS NOT NULL
+""")
+def _dispatch(spark, sf_dir):
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = _restarted(spark, sf_dir, "dispatch", lambda log: dispatch.dispatched(dispatch.messages_of(log), _IDLE))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    return out.select("client", "seq", "method", "code")

@@ -193,7 +193,7 @@ def _project_symbols(spark, sf_dir):
 UNION ALL SELECT 1000000 + c_custkey, 'cl_n', 2000 + n_nationkey, {_CL} FROM {_DEEP} UNION ALL SELECT 1000000 + c_custkey, 'gc_' || n_regionkey, 100 + n_regionkey, 'constant' FROM {_DEEP}""")
 def _visible(spark, sf_dir):
     asked = ROOT.asked(_table(spark, sf_dir, "customer"), "there").select(F.col("file_id").alias("root_id"), F.array("offset").alias("place"))
-    return code.visible(code.project_symbols(_project(spark, sf_dir)), asked).select("root_id", "name", "file_id", "kind")
+    return code.visible(_project(spark, sf_dir), asked).select("root_id", "name", "file_id", "kind")
 
 
 @_query("code_static_access", f"SELECT CAST(1000000 + c_custkey AS BIGINT) AS file_id, CAST({ROOT.start('use')} AS INTEGER) AS start, CAST({ROOT.end('use')} AS INTEGER) AS \"end\" FROM customer WHERE c_nationkey % 2 = 1")
@@ -207,6 +207,55 @@ def _missing(spark, sf_dir):
     return code.missing_includes(_project(spark, sf_dir)).drop("phase")
 
 
+# A ladder of diamonds for each nation: RUNGS files, each including two that include the next, so paths double from rung to rung.
+RUNGS = 12
+_TOP = Sheet("nation", "10000 * n_nationkey", "concat('zt', n_nationkey)", "DATA top_{n_nationkey} TYPE i.\nINCLUDE zl{n_nationkey}_0.\n[[end|DATA after TYPE i.]]\n")
+_RUNG = [
+    [
+        Sheet("nation", f"10000 * n_nationkey + {10 * k + 1}", f"concat('zl', n_nationkey, '_{k}')", f"INCLUDE za{{n_nationkey}}_{k}.\nINCLUDE zb{{n_nationkey}}_{k}.\nDATA l{k} TYPE i.\n" if k < RUNGS else "CONSTANTS deep TYPE i VALUE 1.\n"),
+        *(Sheet("nation", f"10000 * n_nationkey + {10 * k + 2 + i}", f"concat('z{c}', n_nationkey, '_{k}')", f"DATA {c}{k} TYPE i.\nINCLUDE zl{{n_nationkey}}_{k + 1}.\nDATA both{k} TYPE i.\n") for i, c in enumerate("ab") if k < RUNGS),
+    ]
+    for k in range(RUNGS + 1)
+]
+
+
+def _ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "nation")
+    out = _TOP.files(table)
+    for sheet in (s for rung in _RUNG for s in rung):
+        out = out.unionByName(sheet.files(table))
+    return out
+
+
+def _first_of(top: str) -> str:
+    """SQL of the first declarers that each ladder's top file sees."""
+    rows = [("concat('top_', n_nationkey)", "0"), ("'after'", "0"), ("'deep'", f"{10 * RUNGS + 1}")]
+    rows += [(f"'{c}{k}'", f"{10 * k + at}") for k in range(RUNGS) for c, at in (("l", 1), ("a", 2), ("b", 3), ("both", 2))]
+    kind = lambda n: "constant" if n == "'deep'" else "variable"
+    return " UNION ALL ".join(f"SELECT CAST({top} AS BIGINT) AS file_id, {n} AS name, CAST(10000 * n_nationkey + {at} AS BIGINT) AS declared_in, '{kind(n)}' AS kind FROM nation" for n, at in rows)
+
+
+@_query("code_include_diamonds", _first_of("10000 * n_nationkey"))
+def _diamonds(spark, sf_dir):
+    tops = _table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 10000).cast("long").alias("file_id"))
+    return code.first_declarers(_ladders(spark, sf_dir)).join(tops, "file_id", "left_semi").select("file_id", "name", "declared_in", "kind")
+
+
+# Long files of which every line is asked. Only the first line has a field, so all places are fixed numbers and one length.
+_LINES = 1200
+LONG = Sheet("nation", "n_nationkey", "concat('zlong', n_nationkey)", "REPORT z{n_nationkey}.\n" + "".join(f"DATA lv_{k} TYPE [[Ident-{k}|i]].\n" if k % 4 else f"FORM f_{k}.\n  CLEAR [[Ident-{k}|lv_{k + 1}]].\nENDFORM.\n" for k in range(_LINES)))
+_SHIFT = "length(CAST(n_nationkey AS STRING))"
+_AT = [tuple(int(s.strip("()").split(" + ")[0]) for s in (LONG.start(f"Ident-{k}"), LONG.end(f"Ident-{k}"))) for k in range(_LINES)]
+_VALUES = ", ".join(f"('{'i' if k % 4 else f'lv_{k + 1}'}', {a}, {b})" for k, (a, b) in enumerate(_AT))
+
+
+@_query("ide_node_at_many", f"SELECT CAST(n_nationkey AS BIGINT) AS file_id, 'Ident' AS kind, v.name, CAST(v.a + {_SHIFT} AS INTEGER) AS start, CAST(v.b + {_SHIFT} AS INTEGER) AS \"end\" FROM nation, (VALUES {_VALUES}) v(name, a, b)")
+def _node_at_many(spark, sf_dir):
+    table = _table(spark, sf_dir, "nation")
+    places = table.select(F.col("n_nationkey").cast("long").alias("file_id"), F.expr(_SHIFT).alias("shift"), F.explode(F.lit([a for a, _ in _AT])).alias("at"))
+    return code.node_at(code.nodes(LONG.files(table)), places.select("file_id", (F.col("at") + F.col("shift")).cast("int").alias("offset"))).select("file_id", "kind", "name", "start", "end")
+
+
 # Editor tokens ------------------------------------------------------------------------------------------
 
 COLOURED = Sheet("supplier", "s_suppkey", "concat('zs', s_suppkey)", "* supplier\n[[k|CONSTANTS]] gc_{s_nationkey} TYPE i VALUE {s_suppkey}.\nDATA gv TYPE string.\n  gv = 'x' && gc_{s_nationkey}.\n")

@@ -16,6 +16,10 @@ from pyspark.sql.window import Window
 
 from ..plans.lexer import tokenize
 from ..plans.syntax import Node, parse
+from .containment import containing
+from .include_graph import contributions, least_paths, meanings, summary
+from .include_graph import visible as visible_names
+from .itab import checkpointed
 from .symbols import Resolver
 
 TOKENS = "file_id long, ord int, kind string, lit string, start int, end int"
@@ -116,42 +120,44 @@ def missing_includes(files: DataFrame) -> DataFrame:
 
 
 def expanded(files: DataFrame) -> DataFrame:
-    """root_id, file_id, path: every file that a root reaches, with the places on the way.
+    """root_id, file_id, path: every file that a root reaches, with the places on the way to where it first stands.
 
     path orders declarations across files: an include's declarations stand where its statement does. A file already on its own
     way is not entered again, so cycles end.
     """
-    from .itab import checkpointed
-
-    edges = include_edges(files).where("included_id is not null").select(F.col("file_id").alias("from_id"), "included_id", "start")
-    level = files.select(F.col("file_id").cast("long").alias("root_id"), F.col("file_id").cast("long").alias("file_id"), F.array().cast("array<int>").alias("path"), F.array(F.col("file_id").cast("long")).alias("seen"))
-    out = level
-    while True:  # ends, as no file stands twice on a way
-        level = level.join(edges, level["file_id"] == edges["from_id"]).where(~F.array_contains("seen", F.col("included_id")))
-        level = checkpointed(level.select("root_id", F.col("included_id").alias("file_id"), F.concat("path", F.array("start")).alias("path"), F.concat("seen", F.array("included_id")).alias("seen")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.drop("seen")
+    edges = checkpointed(include_edges(files).where("included_id is not null").select("file_id", "included_id", "start"))
+    return least_paths(files.select(F.col("file_id").cast("long").alias("file_id")), edges)
 
 
 def project_symbols(files: DataFrame) -> DataFrame:
-    """Global symbols of each root with its includes merged in: position, an array, orders them; the first of a name wins a merge."""
+    """Global symbols of each root with its includes merged in, each at its first place: position, an array, orders them; the first of a name wins a merge."""
     own = symbols(files).where("scope_id = 0 and kind <> 'include'")
     every = expanded(files).join(own, "file_id").withColumn("position", F.concat("path", F.array("start")))
     return every.select("root_id", "file_id", "name", "kind", "type", "type_name", "start", "end", "position")
 
 
 def visible_at(project: DataFrame, root_id: int, position: list[int]) -> DataFrame:
-    """Global symbols that a root's place sees: all that stand before it, the last of a name."""
+    """Global symbols that a root's place sees, from project_symbols: all whose first place is before it, the last of a name."""
     before = project.where((F.col("root_id") == root_id) & (F.col("position") < F.array(*map(F.lit, position))))
     return before.groupBy("name").agg(F.max_by(F.struct("file_id", "kind", "type", "type_name", "start"), "position").alias("s")).select("name", "s.*")
 
 
-def visible(project: DataFrame, asked: DataFrame) -> DataFrame:
-    """visible_at() for a table of places: root_id, place (an array, the place's position)."""
-    before = project.join(asked, "root_id").where(F.col("position") < F.col("place"))
-    return before.groupBy("root_id", "place", "name").agg(F.max_by(F.struct("file_id", "kind", "type", "type_name", "start"), "position").alias("s")).select("root_id", "place", "name", "s.*")
+def merged_names(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each file's places bring (include_graph.contributions), and the include statements."""
+    edges = checkpointed(include_edges(files).where("included_id is not null").select("file_id", "included_id", "start"))
+    own = symbols(files).where("scope_id = 0 and kind <> 'include'")
+    return contributions(files, own, edges), edges
+
+
+def first_declarers(files: DataFrame) -> DataFrame:
+    """file_id, name, declared_in, kind, start: for each file the first declaration of every name in it and its includes."""
+    return summary(merged_names(files)[0]).select(F.col("of").alias("file_id"), "name", F.col("first.file_id").alias("declared_in"), F.col("first.kind").alias("kind"), F.col("first.start").alias("start"))
+
+
+def visible(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """What every asked place (root_id, place) sees: root_id, place, name and the last declaration before it."""
+    contributed, edges = merged_names(files)
+    return visible_names(contributed, edges, asked).drop("end")
 
 
 def merge_symbols(target: DataFrame, source: DataFrame) -> DataFrame:
@@ -167,13 +173,11 @@ def static_uses(files: DataFrame) -> DataFrame:
 
 
 def project_diagnostics(files: DataFrame) -> DataFrame:
-    """Every file's own problems, missing includes, and uses of `=>` on names that an include declares as something else."""
-    project = project_symbols(files)
-    uses = expanded(files).join(static_uses(files), "file_id").withColumn("at", F.concat("path", F.array("start")))
-    hit = uses.alias("u").join(project.alias("s"), (F.col("u.root_id") == F.col("s.root_id")) & (F.col("u.name") == F.col("s.name")) & (F.col("s.position") < F.col("u.at")) & (F.col("s.file_id") != F.col("u.file_id")))
-    bad = hit.groupBy("u.root_id", "u.file_id", "u.name", "u.start", "u.end").agg(F.max_by("s.kind", "s.position").alias("kind")).where("kind not in ('class', 'interface')")
+    """Every file's own problems, missing includes, and uses of `=>` on names that another file of a root declares as something else."""
+    contributed, edges = merged_names(files)
+    bad = meanings(contributed, edges, static_uses(files)).where("kind not in ('class', 'interface')").select("file_id", "name", "start", "end").distinct()
     message = F.concat(F.lit("'"), "name", F.lit("' is no class or interface; '=>' needs one"))
-    found = bad.select("file_id", F.lit("project").alias("phase"), "start", "end", message.alias("message")).distinct()
+    found = bad.select("file_id", F.lit("project").alias("phase"), "start", "end", message.alias("message"))
     return diagnostics(files).unionByName(missing_includes(files)).unionByName(found)
 
 
@@ -183,22 +187,21 @@ ENCLOSING = ("Form_Decl", "Class_Def_Decl", "Class_Impl_Decl", "Interface_Decl",
 
 
 def node_at(nodes_: DataFrame, asked: DataFrame) -> DataFrame:
-    """The deepest node around each asked place (file_id, offset): an interval join within a file."""
-    joined = nodes_.join(asked, "file_id").where("start <= offset and offset <= end")
+    """The deepest node around each asked place (file_id, offset)."""
+    joined = containing(nodes_.select("file_id", "node_id", "depth", "kind", "name", "start", "end"), asked)
     top = joined.groupBy("file_id", "offset").agg(F.max_by(F.struct("node_id", "kind", "name", "start", "end"), F.struct("depth", "node_id")).alias("n"))
     return top.select("file_id", "offset", "n.*")
 
 
 def enclosing(nodes_: DataFrame, asked: DataFrame) -> DataFrame:
     """All forms, classes, methods, events and modules around each asked place, outermost first."""
-    joined = nodes_.where(F.col("kind").isin(*ENCLOSING)).join(asked, "file_id").where("start <= offset and offset <= end")
-    return joined.select("file_id", "offset", "depth", "kind", "name", "start", "end")
+    return containing(nodes_.where(F.col("kind").isin(*ENCLOSING)), asked).select("file_id", "offset", "depth", "kind", "name", "start", "end")
 
 
 def scopes_at(symbols_: DataFrame, asked: DataFrame) -> DataFrame:
     """file_id, offset, scope_id, rank: scopes that a place sees, innermost first; rank 0 is the innermost."""
-    inner = symbols_.where("child_scope_id >= 0 and kind in ('form', 'method_body', 'event', 'module', 'class', 'interface')").join(asked, "file_id").where("start <= offset and offset <= end")
-    mine = inner.select("file_id", "offset", F.col("child_scope_id").alias("scope_id"), (F.col("end") - F.col("start")).alias("size"))
+    bodies = symbols_.where("child_scope_id >= 0 and kind in ('form', 'method_body', 'event', 'module', 'class', 'interface')").select("file_id", "start", "end", "child_scope_id")
+    mine = containing(bodies, asked).select("file_id", "offset", F.col("child_scope_id").alias("scope_id"), (F.col("end") - F.col("start")).alias("size"))
     # A method's body sees its parameters and its class: both scopes stand above it.
     parents = symbols_.select("file_id", "scope_id", F.col("parent_scope_id").alias("parent")).distinct()
     known = mine.select("file_id", "offset", "scope_id", "size")
