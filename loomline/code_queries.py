@@ -314,3 +314,82 @@ def _index_errors(spark, sf_dir):
     path = F.expr("concat('/x/Package/P/Source Code Library/Programs/R', c_nationkey, '/', 'A', c_custkey, '.abap')")
     errors = corpus.index(corpus.files_of(_table(spark, sf_dir, "customer").select(path.alias("path"), F.lit(b"REPORT x.").alias("content"))))[2]
     return errors.select("name", "message")
+
+
+# Scopes and chains ---------------------------------------------------------------------------------------
+
+#: Marks are named `type-modifiers-number`: what the token at the mark has to be.
+SHADOWED = Sheet(
+    "customer", "c_custkey", "concat('zx', c_custkey)",
+    """CONSTANTS [[variable-5-1|x]] TYPE i VALUE {c_custkey}.
+DATA [[variable-1-2|gv_{c_nationkey}]] TYPE i.
+CLASS [[class-1-3|zcl]] DEFINITION.
+  PUBLIC SECTION.
+    METHODS [[method-1-4|run]] IMPORTING [[parameter-1-5|i_x]] TYPE i.
+    DATA [[property-1-6|attr]] TYPE i.
+ENDCLASS.
+CLASS [[class-0-7|zcl]] IMPLEMENTATION.
+  METHOD [[method-0-8|run]].
+    DATA [[variable-1-9|gv_{c_nationkey}]] TYPE string.
+    [[property-0-10|attr]] = [[parameter-0-11|i_x]] + [[variable-4-12|x]].
+  ENDMETHOD.
+ENDCLASS.
+FORM [[function-1-13|f_{c_custkey}]] USING [[parameter-1-14|p_in]] TYPE i.
+  DATA [[variable-1-15|x]] TYPE i.
+  [[variable-0-16|x]] = [[parameter-0-17|p_in]] + [[variable-0-18|gv_{c_nationkey}]].
+  DATA [[variable-1-19|lo]] TYPE REF TO [[class-0-20|zcl]].
+  [[variable-0-21|lo]]->[[method-0-22|run]]( [[variable-0-23|x]] ).
+  [[variable-0-24|lo]]->[[property-0-25|attr]] = [[variable-0-26|x]].
+ENDFORM.
+[[variable-0-27|gv_{c_nationkey}]] = [[variable-4-28|x]].
+""",
+)
+
+
+@_query("ide_scope_tokens", " UNION ALL ".join(SHADOWED.each({"start": f"start:{m}", "type": f"'{m.split('-')[0]}'", "modifiers": f"CAST({m.split('-')[1]} AS INTEGER)"}) for m, _, _ in SHADOWED.marks))
+def _scope_tokens(spark, sf_dir):
+    got = code.semantic_tokens(SHADOWED.files(_table(spark, sf_dir, "customer")))
+    return got.where("type not in ('keyword', 'number')").select("file_id", "start", "type", "modifiers")
+
+
+FAMILY = Sheet(
+    "customer", "c_custkey", "concat('zf', c_custkey)",
+    """TYPES: BEGIN OF ty_in, key TYPE i, k_{c_nationkey} TYPE string, END OF ty_in.
+TYPES: BEGIN OF ty_line, inner TYPE ty_in, BEGIN OF deep, leaf TYPE REF TO zc_a, END OF deep, END OF ty_line.
+INTERFACE zif. METHODS told. DATA note TYPE string. ENDINTERFACE.
+CLASS zc_a DEFINITION. PUBLIC SECTION. INTERFACES zif. DATA base TYPE ty_line. METHODS make RETURNING VALUE(r) TYPE REF TO zc_c. CLASS-METHODS get RETURNING VALUE(r) TYPE ty_line. PRIVATE SECTION. DATA hidden TYPE i. ENDCLASS.
+CLASS zc_b DEFINITION INHERITING FROM zc_a. PUBLIC SECTION. DATA middle TYPE i. DATA base_{c_nationkey} TYPE i. ENDCLASS.
+CLASS zc_c DEFINITION INHERITING FROM zc_b. PUBLIC SECTION. DATA middle TYPE ty_in. DATA own TYPE REF TO zc_b. ENDCLASS.
+CLASS zc_x DEFINITION INHERITING FROM zc_y. PUBLIC SECTION. DATA round TYPE i. ENDCLASS.
+CLASS zc_y DEFINITION INHERITING FROM zc_x. PUBLIC SECTION. DATA trip TYPE i. ENDCLASS.
+DATA lo TYPE i.
+FORM f.
+  DATA lo TYPE REF TO zc_c.
+  DATA lx TYPE REF TO zc_x.
+  [[here|CLEAR lo.]]
+ENDFORM.
+""",
+)
+#: Chains and the labels, items and types that end them; `{n}` is the file's number.
+_CHAINS = (
+    ("lo->make( )->own->base-inner-k", (("key", "Field", "i"), ("k_{n}", "Field", "string"))),
+    ("x = LO->b", (("base", "Field", "ty_line"), ("base_{n}", "Field", "i"))),
+    ("lo->middle-key", (("key", "Field", "i"),)),
+    ("call( lo->own->make( a = ( 1 ) )->m", (("make", "Method", ""), ("middle", "Field", "ty_in"))),
+    ("zc_c=>get( )-deep-leaf->t", (("told", "Method", ""),)),
+    ("zc_b=>", (("get", "Method", ""),)),
+    ("lx->", (("round", "Field", "i"), ("trip", "Field", "i"))),
+    ("lo->hidden", ()), ("nobody->x", ()), ("lo->own->nothing->x", ()),
+)
+
+
+def _number(text: str, function: str) -> str:
+    parts = [f"'{p}'" for p in text.split("{n}")]
+    return f"{function}({', CAST(c_nationkey AS STRING), '.join(parts)})"
+
+
+@_query("ide_chain", " UNION ALL ".join(f"SELECT CAST(c_custkey AS BIGINT) AS file_id, '{text}' AS text, {_number(label, 'concat')} AS label, '{item}' AS item, '{kind}' AS type_name FROM customer" for text, ends in _CHAINS for label, item, kind in ends))
+def _chain(spark, sf_dir):
+    table = _table(spark, sf_dir, "customer")
+    asked = FAMILY.asked(table, "here").withColumn("text", F.explode(F.array(*(F.lit(t) for t, _ in _CHAINS))))
+    return code.chain_members(code.symbols(FAMILY.files(table)), asked).drop("offset")

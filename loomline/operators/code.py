@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..plans.lexer import tokenize
 from ..plans.syntax import Node, parse
+from .chains import all_members, allowed, chained
 from .containment import containing
 from .include_graph import contributions, least_paths, meanings, summary
 from .include_graph import visible as visible_names
@@ -218,7 +219,7 @@ def lookup(symbols_: DataFrame, asked: DataFrame) -> DataFrame:
     wanted = asked.withColumn("name", F.lower("name"))
     cand = scopes_at(symbols_, asked.select("file_id", "offset").distinct()).join(current_symbols(symbols_), ["file_id", "scope_id"])
     hit = wanted.join(cand, ["file_id", "offset", "name"])
-    best = hit.groupBy("file_id", "offset", "name").agg(F.min_by(F.struct("kind", "type", "type_name", "scope_id", "start", "end", "detail", "child_scope_id"), "rank").alias("s"))
+    best = hit.groupBy("file_id", "offset", "name").agg(F.min_by(F.struct("kind", "type", "type_name", "scope_id", "start", "end", "detail", "child_scope_id", "static"), "rank").alias("s"))
     return best.select("file_id", "offset", "name", "s.*")
 
 
@@ -270,22 +271,36 @@ def completion(symbols_: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def members(symbols_: DataFrame, asked: DataFrame) -> DataFrame:
-    """file_id, name, access, label, item for asked (file_id, name, access).
+    """file_id, name, access, label, item for asked (file_id, name, access); with an offset, the name is looked up at its place, else among the global ones.
 
     access `=>` gives a class's public static members, `->` the public members of the class a variable refers to, statics
     included, `-` the components of a structure or of a variable typed as one.
     """
     current = current_symbols(symbols_)
-    base = asked.withColumn("name", F.lower("name")).join(current.where("scope_id = 0").select("file_id", "name", "kind", "type_name", "child_scope_id"), ["file_id", "name"])
+    wanted = asked.withColumn("name", F.lower("name"))
+    if "offset" in asked.columns:
+        found = lookup(symbols_, wanted.select("file_id", "offset", "name").distinct())
+        base = wanted.join(found.select("file_id", "offset", "name", "kind", "type_name", "child_scope_id"), ["file_id", "offset", "name"])
+    else:
+        base = wanted.join(current.where("scope_id = 0").select("file_id", "name", "kind", "type_name", "child_scope_id"), ["file_id", "name"])
     target = F.regexp_replace("type_name", "^ref to ", "")
     named = current.where("scope_id = 0 and child_scope_id >= 0").select("file_id", F.col("name").alias("target"), F.col("child_scope_id").alias("target_scope"))
     linked = base.withColumn("target", target).join(named, ["file_id", "target"], "left").withColumn("scope_id", F.when(F.col("child_scope_id") >= 0, F.col("child_scope_id")).otherwise(F.col("target_scope")))
-    inner = current.select("file_id", "scope_id", F.col("name").alias("label"), F.col("kind").alias("member"), "visibility", "static")
-    got = linked.join(inner, ["file_id", "scope_id"])
-    public = (F.col("visibility") == "public") & F.col("member").isin("field", "constant", "method")
-    fits = F.when(F.col("access") == "=>", public & (F.col("static") | (F.col("member") == "constant"))).when(F.col("access") == "->", public).otherwise(F.col("member") == "field")
+    inner = all_members(symbols_, current).select("file_id", "scope_id", F.col("name").alias("label"), "kind", "visibility", "static")
+    got = linked.drop("kind").join(inner, ["file_id", "scope_id"])
+    fits = allowed(F.col("access"))
+    item = F.create_map(*(x for k, v in ITEMS.items() for x in (F.lit(k), F.lit(v))))
+    return got.where(fits).select("file_id", "name", "access", "label", item[F.col("kind")].alias("item"))
+
+
+def chain_members(symbols_: DataFrame, asked: DataFrame) -> DataFrame:
+    """file_id, offset, text, label, item, type_name: what could end the chain of accesses that ends each text (file_id, offset, text)."""
+    current = current_symbols(symbols_)
+    places = asked.select("file_id", "offset").distinct()
+    cand = scopes_at(symbols_, places).join(current.where("kind <> 'method_body'"), ["file_id", "scope_id"])
+    seen = cand.groupBy("file_id", "offset", "name").agg(F.min_by(F.struct("kind", "type_name", "child_scope_id"), "rank").alias("s")).select("file_id", "offset", "name", "s.*")
     item = F.create_map(*(x for k, v in ITEMS.items() for x in (F.lit(k), F.lit(v))))
-    return got.where(fits).select("file_id", "name", "access", "label", item[F.col("member")].alias("item"))
+    return chained(symbols_, current, seen, asked).select("file_id", "offset", "text", "label", item[F.col("member")].alias("item"), "type_name")
 
 
 #: Semantic token types and modifiers, in the order that their numbers follow.
@@ -316,31 +331,38 @@ def delta_encoded(placed: DataFrame, key: str = "file_id") -> DataFrame:
     return placed.withColumn("delta_line", F.col("line") - line).withColumn("delta_column", column)
 
 
+def selected_names(nodes_: DataFrame) -> DataFrame:
+    """file_id, start, selected: names after `-`, `->`, `=>` and `~`, a method where it is called, else a property."""
+    called = nodes_.where("role = 'function'").select("file_id", "node_id", F.lit(True).alias("called"))
+    picked = nodes_.where("kind = 'Selector_Expr' and name is not null").join(called, ["file_id", "node_id"], "left")
+    return picked.select("file_id", (F.col("end") - F.octet_length("name")).alias("start"), F.when(F.col("called"), "method").otherwise("property").alias("selected"))
+
+
 def semantic_tokens(files: DataFrame) -> DataFrame:
-    """file_id, delta_line, delta_column, length, type, number, modifiers: tokens that carry meaning, in editor order.
+    """file_id, ord, start, line, column, delta_line, delta_column, length, type, number, modifiers: tokens that carry meaning, in editor order.
 
-    modifiers is a bit set by place in MODIFIERS: declaration where the symbol's own name stands in its declaration, readonly for constants, static for static members.
+    A name is what it declares, else a member if it is selected, else the symbol of its innermost scope. modifiers is a bit set by place in MODIFIERS: declaration where the
+    symbol's own name stands in its declaration, readonly for constants, static for static members.
     """
     got = token_positions(tokens(files), files)
     every = symbols(files)
-    names = current_symbols(every).groupBy("file_id", "name").agg(F.min_by(F.struct("kind", "static"), "scope_id").alias("s")).select("file_id", "name", F.col("s.kind").alias("symbol"), F.col("s.static").alias("static"))
     # A declaration's name is the first token of that name at or after the declaration's start.
-    declared = every.where("kind <> 'method_body'").select("file_id", "name", F.col("start").alias("from"), F.col("end").alias("to"))
-    heads = declared.join(got.select("file_id", F.lower("lit").alias("name"), "start"), ["file_id", "name"]).where(F.col("start").between(F.col("from"), F.col("to")))
-    heads = heads.groupBy("file_id", "name", "from").agg(F.min("start").alias("start")).select("file_id", "start", F.lit(1).alias("declares")).distinct()
-    kinds = F.create_map(*(x for k, v in _TYPE_OF.items() for x in (F.lit(k), F.lit(v))))
-    joined = got.withColumn("name", F.lower("lit")).join(names, ["file_id", "name"], "left")
+    declared = every.where("kind <> 'method_body'").select("file_id", "name", F.col("start").alias("from"), F.col("end").alias("to"), F.struct("kind", "static").alias("head"))
+    idents = got.where("kind = 'Ident'").select("file_id", F.lower("lit").alias("name"), "start")
+    heads = declared.join(idents, ["file_id", "name"]).where(F.col("start").between(F.col("from"), F.col("to")))
+    heads = heads.groupBy("file_id", "name", "from", "head").agg(F.min("start").alias("start")).groupBy("file_id", "start").agg(F.max_by("head", "from").alias("head"))
+    places = idents.join(every.select("file_id", "name").distinct(), ["file_id", "name"], "left_semi").withColumnRenamed("start", "offset")
+    found = lookup(every, places).select("file_id", F.col("offset").alias("start"), F.struct("kind", "static").alias("found"))
+    joined = got.join(heads, ["file_id", "start"], "left").join(found, ["file_id", "start"], "left").join(selected_names(nodes(files)), ["file_id", "start"], "left")
+    meant = F.when(F.col("head").isNotNull(), F.col("head")).when(F.col("selected").isNull(), F.col("found"))
+    kinds = F.create_map(*(x for k, v in (_TYPE_OF | {"method_body": "method"}).items() for x in (F.lit(k), F.lit(v))))
+    joined = joined.withColumn("meant", meant).withColumn("named", F.col("kind") == "Ident")
     type_ = (
         F.when(F.col("kind") == "Comment", "comment").when(F.col("kind").isin("String", "StringTemplate"), "string").when(F.col("kind") == "Number", "number")
-        .when((F.col("kind") == "Ident") & F.col("symbol").isNotNull(), kinds[F.col("symbol")]).when(F.upper("lit").isin(*_WORDS), "keyword")
+        .when(F.col("named") & F.col("meant").isNotNull() & kinds[F.col("meant.kind")].isNotNull(), kinds[F.col("meant.kind")])
+        .when(F.col("named") & F.col("selected").isNotNull(), F.col("selected")).when(F.upper("lit").isin(*_WORDS), "keyword")
     )
-    named = F.col("kind") == "Ident"
-    bits = F.coalesce("declares", F.lit(0)) + F.when(named & F.col("symbol").isin("constant", "struct_constant"), 4).otherwise(0) + F.when(named & F.col("static"), 8).otherwise(0)
-    known = joined.join(heads, ["file_id", "start"], "left").withColumn("type", type_).withColumn("modifiers", bits).where("type is not null")
+    bits = F.when(F.col("head").isNotNull(), 1).otherwise(0) + F.when(F.col("meant.kind").isin("constant", "struct_constant"), 4).otherwise(0) + F.when(F.col("meant.static"), 8).otherwise(0)
+    known = joined.withColumn("type", type_).withColumn("modifiers", F.when(F.col("named"), bits).otherwise(0)).where("type is not null")
     number = F.create_map(*(x for i, t in enumerate(LEGEND) for x in (F.lit(t), F.lit(i))))
-    return delta_encoded(known).select("file_id", "ord", "line", "column", "delta_line", "delta_column", F.length("lit").alias("length"), "type", number[F.col("type")].alias("number"), "modifiers")
-
-
-def access_chain(text: Column) -> Column:
-    """The chain of names and accesses that ends a text, as in `lo_a->m( )-field=>x`: what completion starts from."""
-    return F.regexp_extract(text, r"((?:[A-Za-z_<][\w>/]*(?:\([^()]*\)|\[[^\[\]]*\])?(?:->|=>|-|~))+[\w]*)$", 1)
+    return delta_encoded(known).select("file_id", "ord", "start", "line", "column", "delta_line", "delta_column", F.length("lit").alias("length"), "type", number[F.col("type")].alias("number"), "modifiers")

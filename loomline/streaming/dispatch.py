@@ -2,7 +2,8 @@
 
 Each client is uninitialised, running or shut down. `initialize` starts it, `shutdown` ends its requests, `exit` makes it uninitialised again, and so does a pause longer
 than `idle` in the messages' own times, whatever batches they come in. Every request gets one reply, a result or an error; notifications get none. A client's
-messages are handled in the order of seq; an event-time timer drops the state of clients that have gone.
+messages are handled in the order of seq; an event-time timer drops the state of clients that have gone. A message that comes more than `late` behind the newest one of
+an earlier batch is dropped by the watermark, which is what lets that state go.
 """
 
 from __future__ import annotations
