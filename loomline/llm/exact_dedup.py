@@ -89,11 +89,18 @@ class DigestIndex:
 
     def add(self, rows: DataFrame, delivery: str) -> None:
         """Appends the digests of rows (doc_id, digest) that the index doesn't hold yet, each with the largest id."""
-        groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id")).withColumn("delivery", F.lit(delivery))
+        ws = Workspace(self.spark)
+        # Written, as Spark would else join all rows before it groups them, and a large group of copies would meet in one task.
+        groups = ws.save(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id")).withColumn("delivery", F.lit(delivery)))
         if not self.buckets:
             self._create(rows.count())
-        new = groups.repartition(self.buckets, "digest").join(self.rows().hint("merge"), "digest", "left_anti")
+        new = self.unknown(groups)
         new.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self._table)
+        ws.drop(groups)
+
+    def unknown(self, groups: DataFrame) -> DataFrame:
+        """The rows (digest, …) whose digests the index doesn't hold; only they are shuffled."""
+        return groups.repartition(self.buckets, "digest").join(self.rows().hint("merge"), "digest", "left_anti")
 
 
 def decide(rows: DataFrame, index: DigestIndex, delivery: str) -> DataFrame:
