@@ -118,6 +118,8 @@ program("prog_last_row", "DATA q TYPE string. " + _NATIONS + "LOOP AT t INTO DAT
 program("prog_read_assigning", _NATIONS + "READ TABLE t ASSIGNING FIELD-SYMBOL(<f>) WITH KEY n_nationkey = 5. <f>-n_name = 'changed'.", "t", "SELECT n_nationkey, CASE WHEN n_nationkey = 5 THEN 'changed' ELSE n_name END AS n_name, n_regionkey FROM nation")
 program("prog_appending", _NATIONS + "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1 APPENDING TABLE @t.", "t", "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY k, n_nationkey) AS idx FROM (SELECT *, 1 AS k FROM nation UNION ALL SELECT *, 2 FROM nation WHERE n_regionkey = 1)", True)
 program("prog_is_initial", "DATA: n TYPE i, a TYPE i, b TYPE i. IF n IS INITIAL. a = 1. ENDIF. n = 5. IF n IS INITIAL. b = 1. ENDIF. DATA: BEGIN OF s, a TYPE i, b TYPE i, END OF s. s-a = a. s-b = b.", "s", "SELECT CAST(1 AS INTEGER) AS a, CAST(0 AS INTEGER) AS b")
+program("prog_reduce_max", _EVENTS + "DATA: BEGIN OF s, most TYPE f, least TYPE f, last TYPE i, END OF s. s-most = 0. DATA(a) = REDUCE f( INIT x = 0 FOR w IN t WHERE ( event_type = 'view' ) NEXT x = nmax( val1 = x val2 = w-value ) ). DATA(b) = REDUCE f( INIT x = 1000000 FOR w IN t NEXT x = nmin( val1 = x val2 = w-value val3 = w-user_id + 5 ) ). DATA(c) = REDUCE i( INIT x = 0 FOR w IN t NEXT x = x - w-user_id ). s-most = a. s-least = b. s-last = c.", "s", "SELECT max(value) FILTER (WHERE event_type = 'view') AS most, min(least(value, user_id + 5)) AS least, CAST(-sum(user_id) AS INTEGER) AS last FROM events")
+program("prog_reduce_text", _NATIONS + "DATA(a) = REDUCE string( INIT x = '' FOR w IN t NEXT x = x && w-n_name ). DATA: BEGIN OF s, names TYPE string, n TYPE i, END OF s. s-names = a. s-n = lines( t ).", "s", "SELECT string_agg(n_name, '' ORDER BY n_nationkey) AS names, CAST(count(*) AS INTEGER) AS n FROM nation")
 # Loops with running state: rounds depend on the ones before.
 _R = "DATA: BEGIN OF g1, id TYPE int8, n TYPE int8, END OF g1. DATA r LIKE STANDARD TABLE OF g1. "
 _I = "row_number() OVER (ORDER BY event_id) AS idx FROM "

@@ -295,16 +295,35 @@ class Program:
         return replace(old, df=moved) if isinstance(old, Itab) else Itab(moved, **how)
 
     def _reduce(self, node: Node):
-        """REDUCE that adds to its start: a sum over the table."""
+        """REDUCE whose step is a monoid of its start and the row: adding and subtracting, nmax and nmin, AND, OR, and & in the order of the rows. Any other step is an error."""
         table, name = self.table(node.one("table")), node["name"].lower()
         step, init = node.one("next"), node.one("init")
-        body = step.one("value")
-        if not (body.kind == "Binary_Expr" and body["op"] == "+" and path_of(body.one("left")) == [init["name"].lower()]):
-            raise BindError(node, "only sums can be reduced over a table")
+        body, own = step.one("value"), [init["name"].lower()]
         scope = self.scope(table.df, name)
         df = table.df if node.one("where") is None else table.df.filter(column(node.one("where"), scope))
-        got = df.agg(F.sum(column(body.one("right"), scope))).first()[0]
-        return self.value(init.one("value")) + (got or 0)
+        start = self.value(init.one("value"))
+        sides = [body.one("left"), body.one("right")] if body.kind == "Binary_Expr" else []
+        mine = [path_of(x) == own for x in sides]
+        args = [a.one("value") if a.kind == "Named_Arg" else a for a in body.all("arg")] if body.kind == "Call_Expr" else []
+        others = [x for x in sides + args if path_of(x) != own]
+        if len(others) == len(sides + args) or any(path_of(n) == own for x in others for n in x.walk()):
+            raise BindError(node, "this step can't be reduced over a table")
+        op = body["op"] if sides else (path_of(body.one("function")) or [""])[0]
+        value = column(others[0], scope) if others else F.lit(None)
+        if op == "+" or op == "-" and mine[0]:
+            got = df.agg(F.sum(value)).first()[0] or 0
+            return start + got if op == "+" else start - got
+        if op in ("nmax", "nmin") and others:
+            pick, most = (F.greatest, F.max) if op == "nmax" else (F.least, F.min)
+            got = df.agg(most(pick(*(column(x, scope) for x in others)) if len(others) > 1 else value)).first()[0]
+            return start if got is None else (max if op == "nmax" else min)(start, got)
+        if op in ("AND", "OR"):
+            got = df.agg((F.bool_and if op == "AND" else F.bool_or)(value)).first()[0]
+            return start if got is None else (start and got) if op == "AND" else (start or got)
+        if op == "&" and mine[0]:  # one value, however long: its parts meet when they are joined
+            got = df.agg(F.array_sort(F.collect_list(F.struct(IDX, value.cast("string").alias("v")))).alias("a")).select(F.array_join(F.transform("a", lambda x: x["v"]), "")).first()[0]
+            return f"{start}{got or ''}"
+        raise BindError(node, "this step can't be reduced over a table")
 
     def _select_stmt(self, node: Node) -> None:
         frame = Binder(self.catalog, self.variables).frame(node)

@@ -134,6 +134,17 @@ def test_bodies_without_a_form_raise(spark, body):
         ran(spark, OUT + f"DATA: s TYPE i, u TYPE i. LOOP AT t INTO DATA(w). {body} IF s > 9. EXIT. ENDIF. ENDLOOP.")
 
 
+def test_reductions_of_a_table(spark):
+    got = ran(spark, "DATA(a) = REDUCE i( INIT x = -9 FOR w IN t NEXT x = nmax( val1 = x val2 = w-v ) ). DATA(b) = REDUCE string( INIT x = '>' FOR w IN t WHERE ( v > 3 ) NEXT x = x && w-c ). DATA(n) = REDUCE i( INIT x = 1 FOR w IN t WHERE ( v > 99 ) NEXT x = nmin( val1 = x val2 = w-v ) ).")
+    assert (got["a"], got["b"], got["n"]) == (max(r[1] for r in ROWS), ">" + "".join(c for _, v, c in ROWS if v > 3), 1)
+
+
+@pytest.mark.parametrize("step", ["x * w-v", "x / 2", "w-v - x", "w-v", "x + x", "x + w-v * x"])
+def test_steps_that_are_no_monoid_raise(spark, step):
+    with pytest.raises(BindError):
+        ran(spark, f"DATA(a) = REDUCE i( INIT x = 1 FOR w IN t NEXT x = {step} ).")
+
+
 def test_sizes_declarations_and_folded_scalars(spark):
     got = ran(spark, "DATA: n TYPE i, k TYPE i. n = lines( t ) + 1. WHILE k < 3. k = k + 1. ENDWHILE. FORM unused. CLEAR n. ENDFORM.")
     assert (got["n"], got["k"]) == (41, 3)
