@@ -5,7 +5,7 @@ row that says what it does to the state, these rows are scanned in turn, and eve
 entry state and its place in the block. What a row does to the state must compose: keep it, replace it, add to it, take the larger or smaller
 one (`running`, window functions only), multiply and add (`affine`), or move between finitely many states (`machine`).
 
-Nulls: a null addend adds nothing, a null bound bounds nothing; a null that replaces the state is a state like another.
+Nulls: a null addend adds nothing, a null factor multiplies nothing, a null bound bounds nothing; a null that replaces the state is a state like another.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def affine(df: DataFrame, at: str, factor: Column, addend: Column, start, out: s
     kinds = [df.select(c.alias("v")).schema[0].dataType for c in (factor, addend)]
     whole = all(isinstance(k, (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.BooleanType)) for k in kinds) and isinstance(start, int)
     state = "bigint" if whole else "double"
-    step = F.array(factor.cast(state), F.coalesce(addend.cast(state), F.lit(0).cast(state)))
+    step = F.array(F.coalesce(factor.cast(state), F.lit(1).cast(state)), F.coalesce(addend.cast(state), F.lit(0).cast(state)))
     return _replayed(df, at, step, f"array<{state}>", lambda p, q: [p[0] * q[0], q[0] * p[1] + q[1]], lambda p, s: p[0] * s + p[1], start, out, state)
 
 

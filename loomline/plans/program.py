@@ -306,7 +306,7 @@ class Program:
         mine = [path_of(x) == own for x in sides]
         args = [a.one("value") if a.kind == "Named_Arg" else a for a in body.all("arg")] if body.kind == "Call_Expr" else []
         others = [x for x in sides + args if path_of(x) != own]
-        if len(others) == len(sides + args) or any(path_of(n) == own for x in others for n in x.walk()):
+        if len(others) == len(sides + args) or sides and len(others) != 1 or any(path_of(n) == own for x in others for n in x.walk()):
             raise BindError(node, "this step can't be reduced over a table")
         op = body["op"] if sides else (path_of(body.one("function")) or [""])[0]
         value = column(others[0], scope) if others else F.lit(None)

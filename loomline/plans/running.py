@@ -356,6 +356,7 @@ class Running:
             if s in w.tainted and e.kind == "Binary_Expr" and e["op"] in "+-*/" and (is_s(left) or is_s(right) and e["op"] in "+*") and s not in names_in(right if is_s(left) else left):
                 x = self.value(right if is_s(left) else left, w)
                 if e["op"] in "*/":
+                    x = F.coalesce(x, F.lit(1))
                     scaled = lambda c: c * x if e["op"] == "*" else c / x
                     w.step = (when(guard, scaled(factor), factor), when(guard, scaled(addend), addend), "affine")
                 else:

@@ -57,7 +57,7 @@ def test_index_operations(spark):
     assert rows(t.clear()) == []
 
 
-@pytest.mark.parametrize("body", ["x = x * w-k.", "x = w-k. APPEND VALUE #( k = x ) TO r.", "n = n + 1. IF n > 2. x = w-k. ENDIF."])
+@pytest.mark.parametrize("body", ["x = x * x.", "x = w-k. n = n + x. APPEND VALUE #( k = x ) TO t.", "n = n + x. x = x + n."])
 def test_a_loop_that_needs_an_order_is_refused(spark, body):
     with pytest.raises(BindError):
         Program(spark, Catalog(spark), {"t": table(spark, ROWS), "r": table(spark, ROWS), "x": 1, "n": 0}).run(f"LOOP AT t INTO DATA(w). {body} ENDLOOP.")

@@ -119,8 +119,8 @@ def test_rows_that_repeat_the_one_before_are_deleted(spark):
 
 def test_nulls_add_nothing_and_conditions_on_them_fail(spark):
     rows = [(1, None, "a"), (2, 5, None), (3, None, None), (4, 2, "a")]
-    got = ran(spark, "DATA: s TYPE i, m TYPE i, n TYPE i. LOOP AT t INTO DATA(w). s = s + w-v. IF w-v > m. m = w-v. ENDIF. IF w-c = 'a' AND s > 1. n = n + 1. ENDIF. ENDLOOP.", rows)
-    assert (got["s"], got["m"], got["n"]) == (7, 5, 1)
+    got = ran(spark, "DATA: s TYPE i, m TYPE i, n TYPE i, p TYPE i. p = 1. LOOP AT t INTO DATA(w). p = p * w-v. p = p + 1. s = s + w-v. IF w-v > m. m = w-v. ENDIF. IF w-c = 'a' AND s > 1. n = n + 1. ENDIF. ENDLOOP.", rows)
+    assert (got["s"], got["m"], got["n"], got["p"]) == (7, 5, 1, (((1 + 1) * 5 + 1) + 1) * 2 + 1)
 
 
 def test_loops_over_no_rows_change_nothing(spark):
