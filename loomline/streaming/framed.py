@@ -16,6 +16,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.window import Window
 
 SCHEMA = "file string, at long, body string"
 NAME, CHUNK, LONGEST_HEAD = "framed_log", 8 << 20, 1 << 16
@@ -155,8 +156,9 @@ def write_log(messages: DataFrame, folder: str, share: float = 1.0) -> None:
     """
     size = F.octet_length("body")
     framed = messages.select("file", "seq", F.concat(F.lit("Content-Length: "), size.cast("string"), F.lit("\r\n\r\n"), "body").alias("frame"))
-    limits = framed.groupBy("file").agg(F.floor(F.sum(F.octet_length("frame")) * share).alias("most"))
-    rows = framed.join(limits, "file").repartition("file").sortWithinPartitions("file", "seq").select("file", "most", "frame")
+    # A window keeps each file's rows in one task and in order; a repartition after a join by file may be dropped, and its rows then come from several tasks.
+    whole = Window.partitionBy("file").orderBy("seq", "frame").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = framed.select("file", F.floor(F.sum(F.octet_length("frame")).over(whole) * share).alias("most"), "frame")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = opened(folder)
