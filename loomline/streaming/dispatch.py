@@ -2,8 +2,8 @@
 
 Each client is uninitialised, running or shut down. `initialize` starts it, `shutdown` ends its requests, `exit` makes it uninitialised again, and so does a pause longer
 than `idle` in the messages' own times, whatever batches they come in. Every request gets one reply, a result or an error; notifications get none. A client's
-messages are handled in the order of seq; an event-time timer drops the state of clients that have gone. A message that comes more than `late` behind the newest one of
-an earlier batch is dropped by the watermark, which is what lets that state go.
+messages are handled in the order of seq. With `late`, a message that comes more than that behind the newest one of an earlier batch is dropped by the watermark, and an
+event-time timer drops the state of clients that have gone; without it, no message is dropped, whatever its time, and a phase and a time are kept for each client.
 """
 
 from __future__ import annotations
@@ -56,8 +56,8 @@ def answer(phase: int, method: str | None, id_: int | None) -> tuple[int, int |
 
 
 class Dispatcher(StatefulProcessor):
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
+    def __init__(self, idle_ms: int, timed: bool = True):
+        self.idle_ms, self.timed = idle_ms, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -76,9 +76,10 @@ class Dispatcher(StatefulProcessor):
             if code is not None:
                 out.append((key[0], int(seq), id_, method, code, reply(id_, {"capabilities": {}} if method == "initialize" else None) if code == 0 else error(id_, code)))
         self.state.update((phase, last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last + self.idle_ms + 1)
+        if self.timed:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last + self.idle_ms + 1)
         frame = pd.DataFrame(out, columns=["client", "seq", "id", "method", "code", "reply"])
         yield frame.astype({"client": "int64", "seq": "int64", "id": "Int64", "code": "int32"})
 
@@ -90,13 +91,14 @@ class Dispatcher(StatefulProcessor):
         pass
 
 
-def messages_of(bodies: DataFrame, late: str = "1 hour") -> DataFrame:
-    """client, seq, at (ms), id, method and the event time of bodies; a body that is no message has no method."""
+def messages_of(bodies: DataFrame, late: str | None = "1 hour") -> DataFrame:
+    """client, seq, at (ms), id, method and the event time of bodies; a body that is no message has no method. late: None keeps messages of any time."""
     m = F.from_json("body", BODY)
     rows = bodies.select(m.alias("m")).select("m.*").where("client is not null")
-    return rows.withColumn("time", F.timestamp_millis("at")).withWatermark("time", late)
+    rows = rows.withColumn("time", F.timestamp_millis("at"))
+    return rows if late is None else rows.withWatermark("time", late)
 
 
-def dispatched(messages: DataFrame, idle_ms: int) -> DataFrame:
-    """The replies to a stream of messages_of()."""
-    return messages.groupBy("client").transformWithStateInPandas(Dispatcher(idle_ms), REPLIES, "Append", "EventTime")
+def dispatched(messages: DataFrame, idle_ms: int, timed: bool = True) -> DataFrame:
+    """The replies to a stream of messages_of(); timed: it has a watermark, by which the state of clients that have gone is dropped."""
+    return messages.groupBy("client").transformWithStateInPandas(Dispatcher(idle_ms, timed), REPLIES, "Append", "EventTime" if timed else "None")
